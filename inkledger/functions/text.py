@@ -119,8 +119,11 @@ def is_placeholder(path: Column | str) -> Column:
 # ---------------------------------------------------------------------- paths
 
 def is_absolute(path: Column | str) -> Column:
-    r"""Rooted, UNC or drive paths; one rule on every operating system."""
-    return _col(path).rlike(r"^([/\\]|[A-Za-z]:[/\\])")
+    """Rooted, UNC or drive paths; one rule on every operating system."""
+    unified = forward_slashes(path)
+    return unified.startswith("/") | (
+        (F.substring(unified, 2, 2) == ":/") & F.substring(unified, 1, 1).rlike("[A-Za-z]")
+    )
 
 
 def listed_path(path: Column | str, directory: str | Column) -> Column:
@@ -148,8 +151,12 @@ def path_key(path: Column | str) -> Column:
     lead = F.regexp_extract(unified, "^(//|/|)", 1)
     parts = F.aggregate(F.split(unified, "/"), F.array().cast("array<string>"), step)
     tidy = F.concat(lead, F.array_join(parts, "/"))
-    needs_work = unified.rlike("(.//)|(/[.])|(^[.])|(./$)")
-    return F.when(needs_work, tidy).otherwise(unified)
+    # Plain substring tests keep the common, already tidy path off the array route.
+    untidy = (
+        F.substr(unified, F.lit(2)).contains("//") | unified.contains("/.")
+        | unified.startswith(".") | unified.endswith("/")
+    )
+    return F.when(untidy, tidy).otherwise(unified)
 
 
 def share_root(path: Column | str) -> Column:

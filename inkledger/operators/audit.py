@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions.depth import DepthFilter
 from inkledger.functions.text import is_identifier, strip
-from inkledger.operators.manifest import metadata_in
+from inkledger.operators.manifest import first_filled, metadata_in
 from inkledger.operators.skew import salted_join
 from inkledger.vocabulary import AUDIT_COLUMNS
 
@@ -154,22 +154,30 @@ def audit_columns(audit: DataFrame) -> DataFrame:
     return audit.select("src.*", *AUDIT_COLUMNS)
 
 
-def resolved_files(identifiers: DataFrame, resolved: DataFrame) -> DataFrame:
+def resolved_files(tagged: DataFrame, resolved: DataFrame) -> DataFrame:
     """Resolved paths with identifier, order columns and filled metadata.
 
-    A value that a row naming the file supplies wins over the identifier's first value.
+    A value that a row naming the file supplies wins over the identifier's first value;
+    only eligible rows count. Both grains are mergeable minima over the manifest rows.
     """
-    metas = metadata_in(identifiers)
-    fallback = identifiers.select(
-        "identifier", *[F.col(name).alias(f"_id_{name}") for name in metas]
+    metas = metadata_in(tagged)
+    files = resolved.filter(F.col("resolved_path").isNotNull()).select(
+        "identifier", "basename_key", F.col("resolved_path").alias("path"), "resolution_source",
+        F.col("rank.id_rank").alias("id_rank"), F.col("rank.phase").alias("phase"),
+        F.col("rank.seq").alias("seq"),
     )
+    if not metas:
+        return files.drop("basename_key")
+    eligible = tagged.filter(F.col("rejected").isNull())
+    own = (
+        eligible.filter("path_kind = 'listed'").groupBy("identifier", "basename_key")
+        .agg(*[first_filled(name) for name in metas])
+    )
+    general = eligible.groupBy("identifier").agg(*[first_filled(name).alias(f"_id_{name}") for name in metas])
     return (
-        resolved.filter(F.col("resolved_path").isNotNull())
-        .join(fallback, "identifier")
+        files.join(own, ["identifier", "basename_key"], "left").join(general, "identifier", "left")
         .select(
-            F.col("resolved_path").alias("path"), "identifier", "resolution_source",
-            F.col("rank.id_rank").alias("id_rank"), F.col("rank.phase").alias("phase"),
-            F.col("rank.seq").alias("seq"),
+            "path", "identifier", "resolution_source", "id_rank", "phase", "seq",
             *[
                 F.coalesce(F.col(name)["value"], F.col(f"_id_{name}")["value"], F.lit("")).alias(name)
                 for name in metas

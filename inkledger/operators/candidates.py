@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import text as tx
-from inkledger.operators.manifest import first_filled, metadata_in
 from inkledger.operators.skew import salted_join
 
 
@@ -35,7 +34,6 @@ def listed_references(tagged: DataFrame) -> DataFrame:
         .agg(
             F.min(F.struct("import_row", "listed_path")).alias("_first"),
             F.count(F.lit(1)).alias("n_rows"),
-            *[first_filled(name) for name in metadata_in(tagged)],
         )
         .select(
             "*",
@@ -65,8 +63,6 @@ def candidate_union(
     identifiers: DataFrame, references: DataFrame, names: DataFrame | None
 ) -> DataFrame:
     """Folder matches first, then listed rows; ``rank`` carries the insertion order."""
-    metas = metadata_in(references)
-
     def rank(phase: int, seq: str) -> F.Column:
         return F.struct(
             F.lit(phase).alias("phase"), F.col("id_rank"), F.col(seq).alias("seq")
@@ -78,11 +74,10 @@ def candidate_union(
             F.min("first_row").alias("first_row"),
             F.sum("n_rows").alias("n_rows"),
             F.count(F.lit(1)).alias("n_refs"),
-            *[F.min(name).alias(name) for name in metas],
         )
         .join(identifiers.select("identifier", "id_rank"), "identifier")
         .select(
-            "identifier", "basename_key", rank(1, "first_row"), "n_rows", "n_refs", *metas
+            "identifier", "basename_key", rank(1, "first_row"), "n_rows", "n_refs"
         )
     )
     if names is None:
@@ -90,7 +85,6 @@ def candidate_union(
     matched = folder_matches(identifiers, names).select(
         "identifier", "basename_key", rank(0, "folder_seq"),
         F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_refs"),
-        *[F.lit(None).cast(references.schema[name].dataType).alias(name) for name in metas],
     )
     return (
         matched.unionByName(listed)
@@ -99,7 +93,6 @@ def candidate_union(
             F.min("rank").alias("rank"),
             F.sum("n_rows").alias("n_rows"),
             F.sum("n_refs").alias("n_refs"),
-            *[F.min(name).alias(name) for name in metas],
         )
     )
 

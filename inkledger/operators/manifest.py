@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import text as tx
 from inkledger.functions.depth import DepthFilter, depth_value
-from inkledger.vocabulary import METADATA_COLUMNS, ROLE_ALIASES
+from inkledger.vocabulary import METADATA_COLUMNS, PLACEHOLDERS, ROLE_ALIASES
 
 
 class ManifestError(ValueError):
@@ -141,7 +141,7 @@ def tag_rows(
             if depth_filter else no_filter
         ),
         "path_kind": F.when(F.col("path_text") == "", F.lit("blank"))
-        .when(tx.is_placeholder(F.col("path_text")), F.lit("placeholder"))
+        .when(F.lower(F.col("path_text")).isin(*PLACEHOLDERS), F.lit("placeholder"))
         .when(F.col("basename_key") == "", F.lit("nameless"))
         .otherwise(F.lit("listed")),
     })
@@ -161,20 +161,18 @@ def metadata_in(tagged: DataFrame) -> list[str]:
     return [name for name in METADATA_COLUMNS if name in tagged.columns]
 
 
-def first_filled(name: str, eligible: Column | None = None) -> Column:
+def first_filled(name: str) -> Column:
     """Earliest non-blank value as a mergeable ``(import_row, value)`` minimum."""
-    filled = F.col(name) != ""
-    if eligible is not None:
-        filled = filled & eligible
     return F.min(
-        F.when(filled, F.struct(F.col("import_row").alias("row"), F.col(name).alias("value")))
+        F.when(F.col(name) != "", F.struct(F.col("import_row").alias("row"), F.col(name).alias("value")))
     ).alias(name)
 
 
 def identifier_table(tagged: DataFrame) -> DataFrame:
-    """One row per valid identifier: first eligible row, row counts, metadata fallback.
+    """One row per valid identifier: first eligible row and row counts.
 
-    Every aggregate is mergeable, so a dominant identifier is combined map-side.
+    Every aggregate is a mergeable number, so it hashes without a sort and a dominant
+    identifier is combined map-side.
     """
     ok = F.col("rejected").isNull()
 
@@ -191,6 +189,5 @@ def identifier_table(tagged: DataFrame) -> DataFrame:
             count(ok & (F.col("path_kind") == "placeholder")).alias("n_placeholder"),
             count(ok & (F.col("path_kind") == "blank")).alias("n_blank"),
             count(~ok | (F.col("path_kind") != "listed")).alias("n_without_candidate"),
-            *[first_filled(name, ok) for name in metadata_in(tagged)],
         )
     )

@@ -20,7 +20,14 @@ from inkledger.session import cut_lineage
 
 
 def co_locate(ink: DataFrame, by: list[str], partitions: int | None = None) -> DataFrame:
-    return ink.repartition(partitions, *by) if partitions else ink.repartition(*by)
+    """Hash on ``by`` with a fixed partition count.
+
+    The following steps multiply rows a hundredfold, which the size of this shuffle does
+    not show; a fixed count keeps adaptive coalescing from folding it into few tasks.
+    """
+    if partitions is None:
+        partitions = int(ink.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ink.repartition(partitions, *by)
 
 
 def offsets(values: list, *names: str) -> Column:

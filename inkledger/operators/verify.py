@@ -51,7 +51,10 @@ def crop_ink(boxed: DataFrame, ink: DataFrame) -> DataFrame:
     met = keys.join(tiled, ["page_id", "ty", "tx"])
     return met.filter(
         (F.col("y") >= b["y0"]) & (F.col("y") < b["y1"]) & (F.col("x") >= b["x0"]) & (F.col("x") < b["x1"])
-    ).select("page_id", "cand_id", (F.col("y") - b["y0"]).alias("y"), (F.col("x") - b["x0"]).alias("x"))
+    ).select(
+        F.col("page_id").alias("ink_page"), F.col("cand_id").alias("ink_cand"),
+        (F.col("y") - b["y0"]).alias("y"), (F.col("x") - b["x0"]).alias("x"),
+    )
 
 
 def measure(
@@ -93,6 +96,6 @@ def measure(
     facts = boxed.select("page_id", "cand_id", "cx", "cy", "radius", "dpi", "matched", "box.*")
     return (
         facts.groupBy("page_id", "cand_id")
-        .cogroup(crop_ink(boxed, ink).groupBy("page_id", "cand_id"))
+        .cogroup(crop_ink(boxed, ink).groupBy("ink_page", "ink_cand"))
         .applyInPandas(run, out)
     )

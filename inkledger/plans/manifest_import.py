@@ -17,9 +17,10 @@ from inkledger.session import cut_lineage
 class ManifestImport:
     """An import plan. Each property is a DataFrame.
 
-    Three small tables are written once to the shared checkpoint folder because many
-    later steps read them: ``identifiers``, ``candidate_ranks`` and ``resolved``. They are
-    at the grain of identifiers and candidates, never of manifest rows.
+    Four tables are written once to the shared checkpoint folder because several later
+    steps read them: ``identifiers``, ``references``, ``candidate_ranks`` and ``resolved``.
+    They are at the grain of identifiers, distinct listed paths and candidates; manifest
+    rows are never copied.
 
     ``rows`` carries ``import_row`` and the source columns. ``catalog`` has ``path`` and
     ``folder_seq``; ``probe`` has ``path, path_exists, readable[, detail]``; ``roots``
@@ -48,7 +49,7 @@ class ManifestImport:
 
     @cached_property
     def references(self) -> DataFrame:
-        return candidates.listed_references(self.tagged)
+        return cut_lineage(candidates.listed_references(self.tagged))
 
     @cached_property
     def names(self) -> DataFrame | None:
@@ -90,7 +91,7 @@ class ManifestImport:
 
     @cached_property
     def files(self) -> DataFrame:
-        return audit.resolved_files(self.identifiers, self.resolved)
+        return audit.resolved_files(self.tagged, self.resolved)
 
     @cached_property
     def loaded_identifiers(self) -> DataFrame:

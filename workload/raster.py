@@ -366,13 +366,13 @@ sharp AS (SELECT page_id, angle, CASE WHEN n < 20 THEN 0 ELSE (sum(c * c) / CAST
 
 @query("projection_sharpness", sql("SELECT page_id, angle, round(sharpness, 6) AS sharpness FROM sharp", _SHARP))
 def projection_sharpness(t: Tables) -> DataFrame:
-    rows = orientation.projection_sharpness(t.ink_v, "page_id", _COARSE)
+    rows = orientation.projection_sharpness(raster.co_locate(t.ink_v, PAGE), "page_id", _COARSE)
     return rows.select("page_id", "angle", F.round("sharpness", 6).alias("sharpness"))
 
 
 @query("line_direction")
 def line_direction(t: Tables) -> DataFrame:
-    return orientation.line_direction(t.ink_v, "page_id")
+    return orientation.line_direction(raster.co_locate(t.ink_v, PAGE), "page_id")
 
 
 @query("disc_mask", sql("SELECT page_id, y, x FROM ink_v WHERE power(x - 3.5, 2) + power(y - 3.5, 2) <= 9"))
@@ -382,7 +382,7 @@ def disc_mask(t: Tables) -> DataFrame:
 
 @query(
     "upright_rotation",
-    """WITH v AS (SELECT event_id, value * 3 % 180 AS angle, 1 + CAST(event_id % 20 AS DOUBLE) / 10 AS strength, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value * 7 % 360 END AS dial FROM events),
+    """WITH v AS (SELECT event_id, value * 3 % 180 AS angle, 1 + CAST(event_id % 20 AS DOUBLE) / 10 AS strength, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (value * 7 + 0.001) % 360 END AS dial FROM events),
        b AS (SELECT *, round_even(angle / 90, 0) * 90 AS base, (360 - dial) AS implied FROM v),
        d AS (SELECT *, base % 360 AS one, (base + 180) % 360 AS other, ((base - implied) % 360 + 360) % 360 AS d1, ((base + 180 - implied) % 360 + 360) % 360 AS d2 FROM b)
        SELECT event_id, round(CASE WHEN strength >= 1.7 THEN CASE WHEN dial IS NULL OR least(d1, 360 - d1) <= least(d2, 360 - d2) THEN one ELSE other END
@@ -391,7 +391,7 @@ def disc_mask(t: Tables) -> DataFrame:
 def upright_rotation(t: Tables) -> DataFrame:
     rows = t.events.select(
         "event_id", (F.col("value") * 3 % 180).alias("angle"), (F.lit(1.0) + (F.col("event_id") % 20).cast("double") / 10).alias("strength"),
-        F.when(F.col("event_id") % 3 != 0, F.col("value") * 7 % 360).alias("dial"),
+        F.when(F.col("event_id") % 3 != 0, (F.col("value") * 7 + 0.001) % 360).alias("dial"),
     )
     base = F.bround(F.col("angle") / 90) * 90
     gap = F.pmod(base + F.col("dial"), F.lit(360.0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.operators import hough, raster, signatures, verify
+from inkledger.operators import raster, signatures, verify
 from inkledger.plans import detect
 from inkledger.vocabulary import DATE_STAMP_DEFAULTS
 from workload.registry import Tables, query
@@ -34,7 +34,7 @@ def centres(t: Tables) -> DataFrame:
 
 def ink_of(t: Tables) -> DataFrame:
     axis = F.sequence(F.lit(0), F.lit(SIDE - 1))
-    cells = centres(t).withColumn("y", F.explode(axis)).withColumn("x", F.explode(axis))
+    cells = raster.co_locate(centres(t), ["page_id"]).withColumn("y", F.explode(axis)).withColumn("x", F.explode(axis))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     shaped = cells.withColumns({
         "r": F.sqrt(dx * dx + dy * dy) / RADIUS,
