@@ -42,6 +42,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the folder all executors share."""
+    return f"{_shared_folder(spark).rstrip('/')}/inkledger-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
@@ -49,6 +54,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     costs nothing, and the planner knows the table's true size.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/inkledger-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
