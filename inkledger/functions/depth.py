@@ -9,21 +9,19 @@ from pyspark.sql import functions as F
 
 from inkledger.functions.text import general_number, strip
 
-_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
-
 
 def depth_value(text: Column) -> Column:
     """Numeric depth of a cell, thousands commas ignored; null when not a number.
 
-    Guarded by a pattern because a bare cast accepts forms such as ``1.0d``.
+    A bare cast also reads ``1.0d``, ``1f`` and hexadecimal, so those forms are refused.
     """
-    bare = F.regexp_replace(strip(text), ",", "")
+    bare = F.replace(strip(text), F.lit(","), F.lit(""))
     low = F.lower(bare)
+    suffixed = low.endswith("d") | (low.endswith("f") & ~low.endswith("inf")) | low.contains("x")
     return (
-        F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
-        .when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
-        .when(low.isin("-inf", "-infinity"), F.lit(float("-inf")))
-        .when(low.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
+        F.when(suffixed, F.lit(None).cast("double"))
+        .when(low.isin("+nan", "-nan"), F.lit(float("nan")))
+        .otherwise(bare.try_cast("double"))
     )
 
 
@@ -47,20 +45,25 @@ class DepthFilter:
         blanks = "including" if self.include_blank else "excluding"
         return f"{self.column} {self.symbol} {self.threshold:g} ft, {blanks} blank depths"
 
-    def outcome(self, text: Column, value: Column | None = None) -> Column:
-        """Null when the row passes, otherwise the name of the rejection.
-
-        ``text`` is the stripped cell; pass ``value`` when it is already a column.
-        """
-        value = depth_value(text) if value is None else value
+    def passes(self, value: Column) -> Column:
+        """Strict comparison. NaN sorts above every number in Spark, so it is moved below."""
         limit = F.lit(float(self.threshold))
-        # NaN sorts above every number in Spark, so it is excluded by name.
-        passes = ~F.isnan(value) & (value < limit if self.symbol == "<" else value > limit)
+        if self.symbol == "<":
+            return F.coalesce(value < limit, F.lit(False))
+        return F.coalesce(F.nanvl(value, F.lit(float("-inf"))) > limit, F.lit(False))
+
+    def keeps(self, text: Column, value: Column) -> Column:
+        """Whether the row stays; ``text`` is the stripped cell."""
+        return F.when(text == "", F.lit(self.include_blank)).otherwise(self.passes(value))
+
+    def outcome(self, text: Column, value: Column) -> Column:
+        """Null when the row stays, otherwise the name of the rejection."""
         blank = F.lit(None).cast("string") if self.include_blank else F.lit("filtered_blank_depth")
         return (
             F.when(text == "", blank)
+            .when(self.passes(value), F.lit(None).cast("string"))
             .when(value.isNull(), F.lit("filtered_invalid_depth"))
-            .when(~passes, F.lit("filtered_depth"))
+            .otherwise(F.lit("filtered_depth"))
         )
 
     def detail(self, outcome: Column, text: Column, value: Column) -> Column:

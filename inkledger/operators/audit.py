@@ -87,18 +87,20 @@ def outcome_table(wells: DataFrame, resolved: DataFrame, identifiers: DataFrame)
     return per_candidate.unionByName(per_identifier)
 
 
-def classify_rows(tagged: DataFrame, outcomes: DataFrame) -> DataFrame:
+def classify_rows(tagged: DataFrame, outcomes: DataFrame, max_weight: int | None = None) -> DataFrame:
     """The audit: every manifest row with its one final status."""
-    eligible = F.col("rejected").isNull()
+    eligible = F.col("eligible")
     keyed = tagged.withColumn(
         "basename_key",
-        F.when(eligible & (F.col("path_kind") == "listed"), F.col("basename_key")).otherwise(F.lit("")),
+        F.when(eligible & F.col("listed"), F.col("basename_key")).otherwise(F.lit("")),
     ).withColumn(
         # Rows without an identifier match nothing; a key of their own spreads them.
         "identifier",
         F.coalesce("identifier", F.concat(F.lit("row "), F.col("import_row").cast("string"))),
     )
-    rows = salted_join(keyed, outcomes, ["identifier", "basename_key"], "left", weight="n_rows")
+    rows = salted_join(
+        keyed, outcomes, ["identifier", "basename_key"], "left", weight="n_rows", max_weight=max_weight
+    )
 
     kind = F.col("path_kind")
     loaded = F.coalesce("loaded", F.lit(False))
@@ -168,9 +170,9 @@ def resolved_files(tagged: DataFrame, resolved: DataFrame) -> DataFrame:
     )
     if not metas:
         return files.drop("basename_key")
-    eligible = tagged.filter(F.col("rejected").isNull())
+    eligible = tagged.filter("eligible")
     own = (
-        eligible.filter("path_kind = 'listed'").groupBy("identifier", "basename_key")
+        eligible.filter("listed").groupBy("identifier", "basename_key")
         .agg(*[first_filled(name) for name in metas])
     )
     general = eligible.groupBy("identifier").agg(*[first_filled(name).alias(f"_id_{name}") for name in metas])

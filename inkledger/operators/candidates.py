@@ -29,7 +29,7 @@ def catalog_names(catalog: DataFrame) -> DataFrame:
 def listed_references(tagged: DataFrame) -> DataFrame:
     """Eligible listed rows at the grain of distinct paths, combined map-side."""
     return (
-        tagged.filter(F.col("rejected").isNull() & (F.col("path_kind") == "listed"))
+        tagged.filter(F.col("eligible") & F.col("listed"))
         .groupBy("identifier", "basename_key", "listed_key")
         .agg(
             F.min(F.struct("import_row", "listed_path")).alias("_first"),
@@ -97,12 +97,13 @@ def candidate_union(
     )
 
 
-def claim_names(candidates: DataFrame, names: DataFrame | None) -> DataFrame:
+def claim_names(candidates: DataFrame, names: DataFrame | None, max_weight: int | None = None) -> DataFrame:
     """Owner of every base name and the folder copy, joined back to the candidates.
 
     The first candidate by rank owns a name; other identifiers conflict. The owner is
     a mergeable minimum, not a window, so a name claimed by very many identifiers is
-    combined before the shuffle and salted on the way back.
+    combined before the shuffle and salted on the way back. ``max_weight`` bounds the
+    claims per name when the caller knows it.
     """
     owners = (
         candidates.groupBy("basename_key")
@@ -115,5 +116,5 @@ def claim_names(candidates: DataFrame, names: DataFrame | None) -> DataFrame:
         owners = owners.withColumn("folder_path", F.lit(None).cast("string"))
     else:
         owners = owners.join(names.select("basename_key", "folder_path"), "basename_key", "left")
-    claimed = salted_join(candidates, owners, ["basename_key"], "inner", weight="n_claims")
+    claimed = salted_join(candidates, owners, ["basename_key"], "inner", weight="n_claims", max_weight=max_weight)
     return claimed.withColumn("conflict", F.col("owner") != F.col("identifier")).drop("n_claims")

@@ -140,6 +140,11 @@ def tag_rows(
             depth_filter.outcome(F.col("depth_text"), F.col("depth_value"))
             if depth_filter else no_filter
         ),
+        "eligible": F.col("identifier").isNotNull() & (
+            depth_filter.keeps(F.col("depth_text"), F.col("depth_value")) if depth_filter else F.lit(True)
+        ),
+        "listed": (F.col("path_text") != "") & (F.col("basename_key") != "")
+        & ~F.lower(F.col("path_text")).isin(*PLACEHOLDERS),
         "path_kind": F.when(F.col("path_text") == "", F.lit("blank"))
         .when(F.lower(F.col("path_text")).isin(*PLACEHOLDERS), F.lit("placeholder"))
         .when(F.col("basename_key") == "", F.lit("nameless"))
@@ -174,7 +179,7 @@ def identifier_table(tagged: DataFrame) -> DataFrame:
     Every aggregate is a mergeable number, so it hashes without a sort and a dominant
     identifier is combined map-side.
     """
-    ok = F.col("rejected").isNull()
+    ok = F.col("eligible")
 
     def count(condition: Column) -> Column:
         return F.count_if(condition)
@@ -188,6 +193,6 @@ def identifier_table(tagged: DataFrame) -> DataFrame:
             count(ok).alias("n_eligible"),
             count(ok & (F.col("path_kind") == "placeholder")).alias("n_placeholder"),
             count(ok & (F.col("path_kind") == "blank")).alias("n_blank"),
-            count(~ok | (F.col("path_kind") != "listed")).alias("n_without_candidate"),
+            count(~ok | ~F.col("listed")).alias("n_without_candidate"),
         )
     )

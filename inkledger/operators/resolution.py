@@ -9,7 +9,7 @@ from inkledger.functions import text as tx
 from inkledger.operators.skew import salted_join
 
 
-def choice_list(candidates: DataFrame, references: DataFrame) -> DataFrame:
+def choice_list(candidates: DataFrame, references: DataFrame, max_weight: int | None = None) -> DataFrame:
     """Folder copy first (priority -1), then listed paths by first row, no path twice."""
     keyed = candidates.withColumn("folder_key", tx.path_key(F.col("folder_path")))
     folder = keyed.filter(F.col("folder_path").isNotNull()).select(
@@ -23,7 +23,7 @@ def choice_list(candidates: DataFrame, references: DataFrame) -> DataFrame:
         salted_join(
             references.select("identifier", "basename_key", "listed_key", "listed_path", "first_row"),
             keyed.select("identifier", "basename_key", "conflict", "folder_key", "n_refs"),
-            ["identifier", "basename_key"], "inner", weight="n_refs",
+            ["identifier", "basename_key"], "inner", weight="n_refs", max_weight=max_weight,
         )
         .filter(F.col("folder_key").isNull() | (F.col("folder_key") != F.col("listed_key")))
         .select(

@@ -17,6 +17,7 @@ def salted_join(
     weight: str,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    max_weight: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds one row per key.
 
@@ -27,7 +28,12 @@ def salted_join(
     ``salts`` partitions and its single right row is repeated as often; all other
     keys join as usual. The result is clustered by key *and* salt, so a following
     aggregation on the key combines before it shuffles.
+
+    A caller that knows the largest weight passes ``max_weight``; when it rules out hot
+    keys the plain join is planned.
     """
+    if max_weight is not None and max_weight < hot_rows:
+        return left.join(right, on, how)
     hot = right.filter(F.col(weight) >= hot_rows).select(*on).withColumn("_hot", F.lit(True))
     spread = [c for c in left.columns if c not in on]
     salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
@@ -39,3 +45,18 @@ def salted_join(
     ).otherwise(F.array(F.lit(0)))
     salted_right = right.withColumn("_salt", F.explode(copies))
     return salted_left.drop("_hot").join(salted_right, [*on, "_salt"], how).drop("_salt")
+
+
+def spread_few_splits(rows: DataFrame, by: str) -> DataFrame:
+    """Hash rows over all cores when the input is too small to have a split per core.
+
+    One unsplittable file would otherwise run every expression in one task. Inputs of at
+    least a split per core, that is all large ones, are left alone and gain no shuffle.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * split:
+        return rows
+    return rows.repartition(cores, by)

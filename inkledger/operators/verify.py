@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import geometry as geo
 from inkledger.operators import crops
+from inkledger.operators.raster import co_locate
 
 TILE = 256
 MEASURES = (
@@ -93,9 +94,10 @@ def measure(
 
     out = f"page_id {boxed.schema['page_id'].dataType.simpleString()}, cand_id {boxed.schema['cand_id'].dataType.simpleString()}, {MEASURES}"
     order = [part.split()[0] for part in out.split(", ")]
-    facts = boxed.select("page_id", "cand_id", "cx", "cy", "radius", "dpi", "matched", "box.*")
+    # A fixed partition count: the searches cost far more than the bytes suggest.
+    facts = co_locate(boxed, ["page_id", "cand_id"]).select("page_id", "cand_id", "cx", "cy", "radius", "dpi", "matched", "box.*")
     return (
         facts.groupBy("page_id", "cand_id")
-        .cogroup(crop_ink(boxed, ink).groupBy("ink_page", "ink_cand"))
+        .cogroup(co_locate(crop_ink(boxed, ink), ["ink_page", "ink_cand"]).groupBy("ink_page", "ink_cand"))
         .applyInPandas(run, out)
     )

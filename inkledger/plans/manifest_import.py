@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions.depth import DepthFilter
 from inkledger.operators import audit, candidates, manifest, resolution
+from inkledger.operators.skew import spread_few_splits
 from inkledger.session import cut_lineage
 
 
@@ -41,7 +42,8 @@ class ManifestImport:
 
     @cached_property
     def tagged(self) -> DataFrame:
-        return manifest.tag_rows(self.rows, self.roles, self.source_dir, self.depth_filter)
+        rows = spread_few_splits(self.rows, "import_row")
+        return manifest.tag_rows(rows, self.roles, self.source_dir, self.depth_filter)
 
     @cached_property
     def identifiers(self) -> DataFrame:
@@ -63,11 +65,11 @@ class ManifestImport:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return candidates.claim_names(self.candidate_ranks, self.names)
+        return candidates.claim_names(self.candidate_ranks, self.names, self.candidate_ranks.count())
 
     @cached_property
     def choices(self) -> DataFrame:
-        listed = resolution.choice_list(self.candidates, self.references)
+        listed = resolution.choice_list(self.candidates, self.references, self.references.count())
         return resolution.join_root_status(listed, self.roots)
 
     @cached_property
@@ -87,7 +89,15 @@ class ManifestImport:
     @cached_property
     def audit(self) -> DataFrame:
         outcomes = audit.outcome_table(self.wells, self.resolved, self.identifiers)
-        return audit.classify_rows(self.tagged, outcomes)
+        return audit.classify_rows(self.tagged, outcomes, self._largest_key)
+
+    @cached_property
+    def _largest_key(self) -> int:
+        """Most manifest rows that any audit key holds, from the two written tables."""
+        rows = self.identifiers.select(F.col("n_without_candidate").alias("n")).unionByName(
+            self.resolved.select(F.col("n_rows").alias("n"))
+        )
+        return rows.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
     @cached_property
     def files(self) -> DataFrame:
