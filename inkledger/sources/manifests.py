@@ -177,7 +177,10 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     kept = _drop_blank_rows(table, headers)
     # One sheet holds at most 1,048,576 rows, so a window per workbook is bounded.
     numbered = Window.partitionBy("source_path").orderBy("row_no")
-    return kept.withColumn("import_row", (F.row_number().over(numbered) + 1).cast("long")).drop("row_no")
+    return kept.select(
+        *[F.col(f"`{h}`") for h in headers],
+        (F.row_number().over(numbered) + 1).cast("long").alias("import_row"), "source_path",
+    )
 
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:
