@@ -25,40 +25,66 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
 
     Every size begins as a partition of its own into ``windows`` parts, all but one empty.
     The two partitions with the largest spread between their parts are merged, the largest
-    part of one with the smallest of the other, until one partition is left.
+    part of one with the smallest of the other, until one partition is left. While a partition
+    has empty parts its spread is its largest part, so it takes in the next sizes one by one;
+    such a row of merges is done at once.
     """
     n = len(sizes)
     if windows == 1 or n == 0:
         return np.zeros(n, np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    falling = sizes[order].astype(np.int64)
     left, right = np.full(2 * n, -1), np.full(2 * n, -1)
-    made = n
-    heap = []
-    for i, size in enumerate(sizes.tolist()):
+    made, serial, at = n, 0, 0
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+    def push(sums: np.ndarray, nodes: np.ndarray) -> None:
+        nonlocal serial
+        # Only differences matter from here on, so the smallest part becomes zero.
+        sums = sums - sums[-1]
+        heapq.heappush(heap, (-int(sums[0]), serial, sums, nodes))
+        serial += 1
+
+    def take(count: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal at
         sums, nodes = np.zeros(windows, np.int64), np.full(windows, -1)
-        sums[0], nodes[0] = size, i
-        heap.append((-size, i, sums, nodes))
-    heapq.heapify(heap)
-    serial = n
-    while len(heap) > 1:
-        _, _, sums, nodes = heapq.heappop(heap)
-        _, _, other_sums, other_nodes = heapq.heappop(heap)
-        sums, other = sums + other_sums[::-1], other_nodes[::-1]
+        sums[:count], nodes[:count] = falling[at:at + count], order[at:at + count]
+        at += count
+        return sums, nodes
+
+    def merge(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> None:
+        nonlocal made
+        nodes, other = one[1], two[1][::-1]
+        sums = one[0] + two[0][::-1]
         both = np.flatnonzero((nodes >= 0) & (other >= 0))
         merged = np.where(nodes >= 0, nodes, other)
         fresh = np.arange(made, made + len(both))
         left[fresh], right[fresh], merged[both] = nodes[both], other[both], fresh
         made += len(both)
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        # Only differences matter from here on, so the smallest part becomes zero.
-        sums -= sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), serial, sums, merged[order]))
-        serial += 1
+        falls = np.argsort(-sums, kind="stable")
+        push(sums[falls], merged[falls])
+
+    while at < n or len(heap) > 1:
+        spread = -heap[0][0] if heap else -1
+        if at < n and falling[at] >= spread:
+            next_in_line = int(np.searchsorted(-falling[at:at + windows], -spread, side="right"))
+            block = take(max(1, next_in_line))
+            if heap and next_in_line < windows:
+                merge(block, heapq.heappop(heap)[2:])
+            else:
+                push(*block)
+        else:
+            first = heapq.heappop(heap)[2:]
+            if at < n and (not heap or falling[at] >= -heap[0][0]):
+                merge(first, take(1))
+            else:
+                merge(first, heapq.heappop(heap)[2:])
     window = np.full(made, -1)
     nodes = heap[0][3]
     window[nodes[nodes >= 0]] = np.flatnonzero(nodes >= 0)
-    for node in range(made - 1, n - 1, -1):
-        window[left[node]] = window[right[node]] = window[node]
+    links = zip(range(made - 1, n - 1, -1), left[n:made][::-1].tolist(), right[n:made][::-1].tolist())
+    for node, a, b in links:
+        window[a] = window[b] = window[node]
     return window[:n]
 
 

@@ -24,15 +24,28 @@ _SAFE_CUT = re.compile(r" (?=\S)")
 _SETTLED = "ɐ"
 
 
+def _shown_bytes() -> dict[int, int]:
+    """Byte -> the visible character that byte-level vocabularies write for it.
+
+    Printable characters of Latin-1 stand for themselves, the rest for those from 256 on.
+    """
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20,)]
+    hidden = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SHOWN = _shown_bytes()
+
+
 class _Pieces(dict):
     """Piece -> packed ids, by the tokenizer."""
 
-    def __init__(self, encode):
+    def __init__(self, encode_piece, encode):
         super().__init__()
-        self.encode = encode
+        self.encode_piece, self.encode = encode_piece, encode
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self.encode(piece)
+        packed = self.encode_piece(piece)
         if len(self) < CACHED_WORDS and len(piece) <= CACHED_CHARS:
             self[piece] = packed
         return packed
@@ -70,7 +83,14 @@ class NoteEncoder:
         def encode(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes()
 
-        pieces, find = _Pieces(encode), regex.compile(pattern).findall
+        merge = tokenizer.model.tokenize
+
+        def encode_piece(piece: str) -> bytes:
+            """A match of the pattern goes straight to the tokenizer's merges."""
+            shown = piece.encode().decode("latin-1").translate(_SHOWN)
+            return np.array([t.id for t in merge(shown)], dtype).tobytes()
+
+        pieces, find = _Pieces(encode_piece, encode), regex.compile(pattern).findall
         self.dtype = dtype
         self._first, self._spaced = _Words("", pieces, find), _Words(" ", pieces, find)
 
