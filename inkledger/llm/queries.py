@@ -34,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def notes_of(documents: DataFrame) -> DataFrame:
     """Documents as review records: their id is the position, their text the notes."""
-    return documents.withColumnsRenamed({"doc_id": "position", "text": "notes"})
+    return documents.select(
+        F.col("doc_id").alias("position"), F.col("text").alias("notes"), "lang", "source", "n_chars")
 
 
 def remainder(position: Column) -> Column:
@@ -60,7 +61,8 @@ def op2_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents, learned from the labels of those that are not held out."""
     notes = notes_of(documents)
-    known = notes_of(labels).filter(remainder(F.col("position")) != 1)
+    known = labels.select(F.col("doc_id").alias("position"), "toxic").filter(
+        remainder(F.col("position")) != 1)
     model = toxicity.fit_toxicity(notes, known, language="lang")
     return toxicity.score_notes(notes, model, language="lang")
 
