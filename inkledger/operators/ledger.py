@@ -29,7 +29,8 @@ def conform(rows: DataFrame) -> DataFrame:
 
     Header case is ignored, ``api14`` stands in for ``log_api``, absent optional columns
     are blank, the name falls back on the path, nameless rows go, and of the rows of one
-    name (case ignored) the last by ``position`` wins.
+    name (case ignored) the last by ``position`` wins. Without that column rows count in the
+    order in which they are read.
     """
     have = {c.strip().lower(): c for c in rows.columns}
 
@@ -39,7 +40,7 @@ def conform(rows: DataFrame) -> DataFrame:
                 return tx.text_or_blank(F.col(f"`{have[name]}`"))
         return F.lit("")
 
-    position = F.col(have["position"]).cast("long") if "position" in have else F.lit(0).cast("long")
+    position = F.col(have["position"]).cast("long") if "position" in have else F.monotonically_increasing_id()
     path = pick("file_path")
     link = pick("file_link", "file_name")
     verdict = (

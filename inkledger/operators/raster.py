@@ -37,10 +37,12 @@ def offsets(values: list, *names: str) -> Column:
 
 
 def with_page_facts(ink: DataFrame, pages: DataFrame, *facts: str) -> DataFrame:
-    """Attach page columns to pixels; pages with very many pixels are salted."""
-    area = F.col("width").cast("long") * F.col("height")
-    small = pages.select("page_id", *facts, area.alias("_area"))
-    return salted_join(ink, small, ["page_id"], "inner", weight="_area").drop("_area")
+    """Attach page columns to pixels.
+
+    A plain join: the planner broadcasts the page table only when its own size estimate
+    allows it, and splits the pixels of a crowded page at run time.
+    """
+    return ink.join(pages.select("page_id", *facts), "page_id")
 
 
 # ------------------------------------------------------------------ runs and ink
@@ -370,12 +372,9 @@ def box_scatter(cells: DataFrame, by: list[str], reach: list[int]) -> DataFrame:
 
 
 def ring_offsets(radius: float, thickness: float) -> list[tuple[int, int]]:
-    reach = int(math.ceil(2 * (radius + thickness))) | 1
-    half = reach // 2
-    return [
-        (dy, dx) for dy in range(-half, half + 1) for dx in range(-half, half + 1)
-        if abs(math.hypot(dy, dx) - radius) <= thickness
-    ]
+    outer, inner = radius + thickness, radius - thickness
+    span = range(-math.ceil(outer), math.ceil(outer) + 1)
+    return [(dy, dx) for dy in span for dx in span if inner <= math.hypot(dy, dx) <= outer]
 
 
 def annulus_response(ink: DataFrame, by: list[str], radius: float, thickness: float = 2.0) -> DataFrame:

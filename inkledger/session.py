@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Used by local masters that name no folder; clusters must name one.
+LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,9 +38,8 @@ def _shared_folder(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="inkledger-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    spark.conf.set(CHECKPOINT_CONF, LOCAL_FOLDER)  # driver and executors are one machine
+    return LOCAL_FOLDER
 
 
 def scratch_path(spark: SparkSession) -> str:

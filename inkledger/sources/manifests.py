@@ -19,7 +19,9 @@ from inkledger.operators.manifest import ManifestError, number_rows
 from inkledger.vocabulary import ROLE_ALIASES
 
 DELIMITERS = ",\t;|"
+# The dialect is guessed from so much text; the header is always read whole.
 SAMPLE_BYTES = 65536
+csv.field_size_limit(1 << 30)
 
 
 def unique_headers(values: list[object]) -> list[str]:
@@ -44,14 +46,23 @@ def read_identifier_list(spark: SparkSession, path: str) -> DataFrame:
     return number_rows(kept).drop("_metadata")
 
 
-def _head(spark: SparkSession, path: str) -> str:
-    """The first bytes of one file; a fixed-size read for the header, not a scan."""
-    row = spark.read.format("binaryFile").load(path).select(
-        F.substring("content", 1, SAMPLE_BYTES).alias("head")
-    ).first()
-    if row is None:
-        raise ManifestError("the selected file is empty")
-    return bytes(row["head"]).decode("utf-8-sig", errors="ignore")
+def _head(spark: SparkSession, path: str) -> tuple[str, str]:
+    """First lines of one file and its whole header record, however long that is."""
+    lines, asked = spark.read.text(path), 64
+    while True:
+        rows = [r["value"] for r in lines.take(asked)]
+        if not rows:
+            raise ManifestError("the selected file is empty")
+        quotes, end = 0, None
+        for n, row in enumerate(rows):
+            quotes += row.count('"')
+            if quotes % 2 == 0:
+                end = n + 1
+                break
+        if end is not None or len(rows) < asked:
+            text = "\n".join(rows).lstrip("\ufeff")
+            return text[:SAMPLE_BYTES], "\n".join(rows[:end]).lstrip("\ufeff")
+        asked *= 4  # the record goes on behind these lines
 
 
 def sniff(sample: str, path: str) -> str:
@@ -68,11 +79,11 @@ def read_delimited(spark: SparkSession, path: str, multiline: bool = True) -> Da
     ``multiline`` keeps quoted line breaks right and reads a file in one task. A very large
     file without quoted line breaks can be split with ``multiline=False``.
     """
-    sample = _head(spark, path)
+    sample, header = _head(spark, path)
     if not sample.strip():
         raise ManifestError("the selected file is empty")
     delimiter = sniff(sample, path)
-    headers = unique_headers(next(csv.reader(io.StringIO(sample, newline=""), delimiter=delimiter)))
+    headers = unique_headers(next(csv.reader(io.StringIO(header, newline=""), delimiter=delimiter)))
     schema = ", ".join(f"`{h.replace('`', '``')}` STRING" for h in headers)
     raw = (
         spark.read.schema(schema).option("sep", delimiter).option("header", True).option("quote", '"')

@@ -115,7 +115,7 @@ mask AS (SELECT page_id, y, x FROM run_h WHERE n >= 8 UNION SELECT page_id, y, x
 
 @query(
     "long_line_suppression",
-    sql("SELECT i.page_id, i.y, i.x, EXISTS (SELECT 1 FROM mask m WHERE m.page_id = i.page_id AND m.y = i.y AND m.x = i.x) AS on_line FROM ink_v i", _LINES),
+    sql("SELECT i.page_id, i.y, i.x, m.page_id IS NOT NULL AS on_line FROM ink_v i LEFT JOIN (SELECT DISTINCT page_id, y, x FROM mask) m ON m.page_id = i.page_id AND m.y = i.y AND m.x = i.x", _LINES),
 )
 def long_line_suppression(t: Tables) -> DataFrame:
     return raster.long_line_flags(raster.co_locate(t.ink_v, PAGE), PAGE, 8)
@@ -165,10 +165,10 @@ def normals_of(t: Tables) -> DataFrame:
 
 @query(
     "unit_gradients",
-    sql("SELECT page_id, y, x, round(nx, 6) + 0 AS nx, round(ny, 6) + 0 AS ny FROM normals WHERE abs(nx) + abs(ny) > 1e-3", _EDGE + ", " + _NORMALS),
+    sql("SELECT page_id, y, x, round(nx, 6) + 0 AS nx, round(ny, 6) + 0 AS ny FROM normals", _EDGE + ", " + _NORMALS),
 )
 def unit_gradients(t: Tables) -> DataFrame:
-    rows = normals_of(t).filter("abs(nx) + abs(ny) > 1e-3")
+    rows = normals_of(t)
     return rows.select(
         "page_id", "y", "x", (F.round("nx", 6) + 0).alias("nx"), (F.round("ny", 6) + 0).alias("ny")
     )
@@ -386,18 +386,14 @@ def disc_mask(t: Tables) -> DataFrame:
        b AS (SELECT *, round_even(angle / 90, 0) * 90 AS base, (360 - dial) AS implied FROM v),
        d AS (SELECT *, base % 360 AS one, (base + 180) % 360 AS other, ((base - implied) % 360 + 360) % 360 AS d1, ((base + 180 - implied) % 360 + 360) % 360 AS d2 FROM b)
        SELECT event_id, round(CASE WHEN strength >= 1.7 THEN CASE WHEN dial IS NULL OR least(d1, 360 - d1) <= least(d2, 360 - d2) THEN one ELSE other END
-              ELSE implied % 360 END, 1) AS upright FROM d WHERE dial IS NULL OR abs(least(d1, 360 - d1) - least(d2, 360 - d2)) > 1e-6""",
+              ELSE implied % 360 END, 1) AS upright FROM d""",
 )
 def upright_rotation(t: Tables) -> DataFrame:
     rows = t.events.select(
         "event_id", (F.col("value") * 3 % 180).alias("angle"), (F.lit(1.0) + (F.col("event_id") % 20).cast("double") / 10).alias("strength"),
         F.when(F.col("event_id") % 3 != 0, (F.col("value") * 7 + 0.001) % 360).alias("dial"),
     )
-    base = F.bround(F.col("angle") / 90) * 90
-    gap = F.pmod(base + F.col("dial"), F.lit(360.0))
-    other = F.pmod(base + 180 + F.col("dial"), F.lit(360.0))
-    tie = F.abs(F.least(gap, F.lit(360) - gap) - F.least(other, F.lit(360) - other)) <= 1e-6
-    return rows.filter(F.col("dial").isNull() | ~tie).select(
+    return rows.select(
         "event_id", orientation.upright_rotation(F.col("angle"), F.col("strength"), F.col("dial")).alias("upright")
     )
 
