@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words of one suffix array; a longer note has one of its own.
-ARRAY_WORDS = 200_000
+ARRAY_WORDS = 100_000
 BLANKS = "\t\n\x0b\x0c\r"
 _SYMBOLS = re.compile(r"[#*$%&|<>]+")
 SCORES = ("position long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "

@@ -14,7 +14,7 @@ import numpy as np
 import regex
 
 # A worker remembers at most this many words; later new ones are encoded each time.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 # Longer words are not remembered.
 CACHED_CHARS = 64
 
