@@ -130,10 +130,10 @@ def test_shards(spark):
     assert empty.count() == 0
 
 
-def simple_fingerprint(note, shingle):
+def simple_fingerprint(note, shingle, seed=42):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in note or ""))
     runs = [" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    hashes = [xxhash.xxh64_intdigest(r.encode(), seed) for r in runs]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -159,6 +159,38 @@ def test_near_copies(spark, notes, nothing, blocks, bucket):
         assert simhash.near_copies(nothing).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [2, 4096])
+def test_near_copies_of_wide_fingerprints(spark, notes, nothing, bucket):
+    """All pairs within 20 of 128 bits, also where every bucket is full."""
+    draw = np.random.default_rng(5)
+    rows = []
+    for family in range(6):
+        base = [f"w{k}" for k in draw.integers(0, 5000, 240)]
+        for copy in range(12):
+            words = list(base)
+            for at in draw.integers(0, 240, copy % 7):
+                words[at] = f"edit{family}-{copy}-{at}"
+            rows.append((1000 * family + 100 + copy, " ".join(words)))
+    table = notes.select("position", "notes").unionByName(
+        spark.createDataFrame(rows, "position long, notes string"))
+    groups = simhash.near_copies(table, shingle=5, radius=20, bits=128, blocks=7, bucket=bucket).collect()
+    prints = [(p, simple_fingerprint(n, 5) | simple_fingerprint(n, 5, 43) << 64)
+              for p, n in [*((p, n) for p, n, _ in NOTES), *rows]]
+    assert Counter((r.position, int.from_bytes(r.fingerprint, "little")) for r in groups) == Counter(prints)
+    root = {f: f for _, f in prints}
+    for _ in prints:
+        for a in root:
+            root[a] = min(root[b] for b in root if (a ^ b).bit_count() <= 20)
+    least = {}
+    for p, f in prints:
+        if p is not None:
+            least[root[f]] = min(p, least.get(root[f], p))
+    assert all(r.component_id == least.get(root[int.from_bytes(r.fingerprint, "little")]) for r in groups)
+    assert len({r.component_id for r in groups if r.position and r.position >= 100}) < 40
+    if bucket == 2:
+        assert simhash.near_copies(nothing, bits=128, radius=20, blocks=7).count() == 0
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
