@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkledger.llm import (
-    bytepair, chunks, curves, packing, paths, records, repetition, shards, simhash, toxicity,
+    bytepair, centroids, chunks, collocations, curves, mixture, oracles, packing, paths, records,
+    repetition, shards, simhash, toxicity,
 )
 from inkledger.session import scratch_path
 
@@ -162,7 +163,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = notes_of(table(spark, sf_dir, "documents")).withColumnRenamed("lang", "stamp_type")
+    marked = collocations.collocations(notes, min_count=10, max_words=3, first=2000, unknown="und")
+    return marked.select(
+        F.col("kind").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("cand_id"), F.col("embedding").alias("signature"))
+    grouped = centroids.cluster_signatures(vectors, k=8, rounds=10, seed=3, bins=64, scale=1024)
+    return grouped.withColumnRenamed("cand_id", "vec_id")
+
+
+def source_weights(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+    """The catalog of sources in order, null last, with weights that repeat."""
+    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    listed = F.array(*map(F.lit, weights))
+    return documents.select("source").distinct().select(
+        "source", F.get(listed, place % len(weights)).alias("weight"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    mixed = mixture.mix_sources(
+        notes_of(documents), source_weights(documents), share=1.5, most_epochs=2, seed=13, source="source")
+    return mixed.select(
+        F.col("position").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_records, op2_byte_pairs, op3_toxicity, op4_kd_shards, op5_simhash, op6_line_chunks,
-    op7_repetition, op8_link_rules, op9_curves, op10_packing)}
-SQL = {"op8_link_rules": OP8_SQL}
+    op7_repetition, op8_link_rules, op9_curves, op10_packing, op11_collocations, op12_centroids,
+    op13_mixture)}
+SQL = {
+    "op8_link_rules": OP8_SQL, "op11_collocations": oracles.COLLOCATIONS,
+    "op12_centroids": oracles.CENTROIDS, "op13_mixture": oracles.MIXTURE,
+}
