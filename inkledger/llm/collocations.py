@@ -26,9 +26,11 @@ from inkledger.llm.store import partitions_for
 from inkledger.session import cut_lineage
 
 # Words a task counts before it passes its counts on.
-HELD_WORDS = 3_000_000
+HELD_WORDS = 800_000
+# Rows of one batch that a task passes on.
+SENT_ROWS = 20_000
 # Bytes of notes per range of the prefix order, and phrases per range of the suffix order.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 RANGE_PHRASES = 500_000
 # Windows per range that set the bounds of the ranges, from so many notes at most.
 BOUND_ROWS, BOUND_NOTES = 20, 4000
@@ -59,12 +61,13 @@ def _schema(width: int, extra: list[tuple[str, pa.DataType]]) -> pa.Schema:
 def _counted(held: dict[str, list[np.ndarray]], place: np.ndarray, width: int):
     """Per kind: the places (-1: none) of its different windows in ascending order, counts."""
     for kind in sorted(held):
-        ids = place[np.concatenate([*held[kind], np.full(width, -1)])]
+        ids = place[np.concatenate([*held[kind], np.full(width, -1, np.int32)])]
         at = np.flatnonzero(ids[:len(ids) - width + 1] >= 0)
         columns = [ids[at]]
         for k in range(1, width):
-            columns.append(np.where(columns[-1] < 0, -1, ids[at + k]))
-        rank, size = columns[0] + 1, len(place)
+            columns.append(np.where(columns[-1] < 0, np.int32(-1), ids[at + k]))
+        del ids, at
+        rank, size = columns[0].astype(np.int64) + 1, len(place)
         for column in columns[1:]:
             if int(rank.max(initial=0)) + 1 > (1 << 62) // size:
                 rank = np.unique(rank, return_inverse=True)[1]
@@ -79,7 +82,8 @@ def _window_counter(width: int, bounds: list[tuple]):
 
     def flush(held: dict, vocabulary: _Vocabulary) -> Iterator[pa.RecordBatch]:
         words = sorted(w for w in vocabulary if w != _STOP)
-        place = np.full(len(words) + 1, -1)  # of a word's number in the sorted words; -1 stays
+        # Of a word's number in the sorted words; -1 stays.
+        place = np.full(len(words) + 1, -1, np.int32)
         place[[vocabulary[w] for w in words]] = np.arange(len(words))
         known = pa.array(words, pa.binary()).cast(pa.string())
         for kind, columns, counts in _counted(held, place, width):
@@ -89,8 +93,8 @@ def _window_counter(width: int, bounds: list[tuple]):
 
             edges = [bisect.bisect_left(range(len(counts)), b, key=key) for b in bounds]
             spread = np.searchsorted(np.array(edges, np.int64), np.arange(len(counts)), side="right")
-            for low in range(0, len(counts), 100_000):
-                part = slice(low, low + 100_000)
+            for low in range(0, len(counts), SENT_ROWS):
+                part = slice(low, low + SENT_ROWS)
                 taken = [known.take(pa.array(c[part], mask=c[part] < 0)) for c in columns]
                 size = len(counts[part])
                 yield pa.RecordBatch.from_arrays(
@@ -106,7 +110,7 @@ def _window_counter(width: int, bounds: list[tuple]):
                 note = texts[i].as_py()
                 notes[kind].append(note)
                 waiting += len(note)
-                if waiting < 1 << 21 and i < size - 1:
+                if waiting < 1 << 20 and i < size - 1:
                     continue
                 for k, own in notes.items():
                     shaped = _STOP.join(own).translate(_SHAPE)
@@ -117,6 +121,7 @@ def _window_counter(width: int, bounds: list[tuple]):
                 notes, waiting = defaultdict(list), 0
                 if n_words >= HELD_WORDS:
                     yield from flush(held, vocabulary)
+                    pa.default_memory_pool().release_unused()
                     vocabulary, held, n_words = _Vocabulary({_STOP: -1}), defaultdict(list), 0
         if n_words:
             yield from flush(held, vocabulary)
@@ -330,8 +335,8 @@ def collocations(
     scored = phrases.filter(stays).select(
         "kind", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"), best.alias("c"))
     order = [F.col("c.score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    ranked = scored.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order)).cast("long"))
+    # A plain row number: Spark then keeps the first of each kind per task before it shuffles.
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
     return ranked.filter(F.col("rank") <= first).join(totals, "kind").select(
-        "kind", "rank", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"),
+        "kind", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"),
         F.col("n_words").alias("n"), F.col("c.score").alias("score"))
