@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.operators.raster import box_scatter, co_locate
+from inkledger.operators import suppression
+from inkledger.operators.raster import box_scatter
 
 
 def cast_votes(normals: DataFrame, by: list[str], radii: list[float] | None = None) -> DataFrame:
@@ -77,32 +78,10 @@ def peaks(gathered: DataFrame, by: list[str], min_vote_fraction: float = 0.25, e
 def greedy_suppression(candidates: DataFrame, by: list[str], min_sep: str, cap: int | None = None) -> DataFrame:
     """Strongest first, drop everything within ``min_sep`` (a column) of a kept one.
 
-    The rule is sequential by definition, so a group is folded in order. A group is the
-    peaks of one raster, which the local-maximum step keeps at least 0.6 R apart per
-    radius: its size is bounded by the raster's area, not by the number of pages. The fold
-    is a built-in array aggregate, so no row leaves the JVM.
+    Without ``cap`` all that are left stay; with it only the strongest of a group do.
     """
-    rest = [c for c in candidates.columns if c not in (*by, "votes", "cy", "cx", "radius")]
-    strength = (-F.col("votes")).alias("weak")
-    ordered = F.sort_array(F.collect_list(F.struct(strength, "cy", "cx", "radius", *rest)))
-    grouped = co_locate(candidates, by).groupBy(*by).agg(ordered.alias("c"))
-    empty = F.filter("c", lambda e: F.lit(False))
-
-    def step(kept, e):
-        def near(k):
-            dx, dy = e["cx"] - k["cx"], e["cy"] - k["cy"]
-            return (dx * dx + dy * dy).cast("double") <= e[min_sep] * e[min_sep]
-
-        return F.when(F.exists(kept, near), kept).otherwise(F.concat(kept, F.array(e)))
-
-    kept = F.aggregate("c", empty, step)
-    if cap is not None:
-        kept = F.slice(kept, 1, cap)
-    rows = grouped.select(*by, F.explode(kept).alias("k"))
-    back = {"votes": -F.col("k.weak")}
-    return rows.select(*[
-        (F.col(c) if c in by else back.get(c, F.col(f"k.{c}"))).alias(c) for c in candidates.columns
-    ])
+    kept = suppression.independent(candidates, by, min_sep)
+    return kept if cap is None else suppression.strongest(kept, by, cap)
 
 
 def lift(candidates: DataFrame, factor: str, x0: str, y0: str) -> DataFrame:

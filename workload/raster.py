@@ -222,7 +222,26 @@ def vote_peaks(t: Tables) -> DataFrame:
     return peaks_of(t)
 
 
-@query("greedy_suppression")
+_GREEDY = """ranked AS (
+  SELECT page_id, radius, cy, cx, votes,
+         row_number() OVER (PARTITION BY page_id ORDER BY votes DESC, cy, cx, radius) AS k
+  FROM (""" + _PEAKS + """)
+), walk AS (
+  SELECT page_id, k, radius, cy, cx, votes, TRUE AS taken, [{'cy': cy, 'cx': cx}] AS kept FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT r.page_id, r.k, r.radius, r.cy, r.cx, r.votes, f.free,
+         CASE WHEN f.free THEN list_append(w.kept, {'cy': r.cy, 'cx': r.cx}) ELSE w.kept END
+  FROM walk w JOIN ranked r ON r.page_id = w.page_id AND r.k = w.k + 1,
+       LATERAL (SELECT len(list_filter(w.kept, lambda o: (o.cy - r.cy) * (o.cy - r.cy) + (o.cx - r.cx) * (o.cx - r.cx) <= 4)) = 0 AS free) f
+)"""
+
+
+@query(
+    "greedy_suppression",
+    sql("""SELECT page_id, radius, cy, cx, votes, CAST(2 AS DOUBLE) AS min_sep FROM (
+             SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS n FROM walk WHERE taken) WHERE n <= 12""",
+        _VOTES + ", " + _GREEDY),
+)
 def greedy_suppression(t: Tables) -> DataFrame:
     return hough.greedy_suppression(peaks_of(t).withColumn("min_sep", F.lit(2.0)), PAGE, "min_sep", 12)
 
