@@ -55,7 +55,7 @@ def rescore(detections: DataFrame, geometry_only: bool = False, t_hit: float = T
 
 
 def within_budget(candidates: DataFrame, page: str, first: str, then: str, ident: str,
-                  first_n: int = 18, match_n: int = 3, keep_n: int = 6) -> DataFrame:
+                  first_n: int, match_n: int, keep_n: int) -> DataFrame:
     """Two-pass budget: the ``first_n`` of a page by ``first`` are ranked by ``then``.
 
     ``matched`` marks the few that earn the costly match; only ``keep_n`` stay. Both

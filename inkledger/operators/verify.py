@@ -1,61 +1,100 @@
-"""Verification of ring candidates on native-resolution crops."""
+"""Verification of ring candidates on native-resolution crops, as relations of their ink."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import geometry as geo
-from inkledger.operators import crops
-from inkledger.operators.raster import co_locate
+from inkledger.operators import orientation, raster, search
+from inkledger.session import cut_lineage
+from inkledger.vocabulary import POLAR_RANGE, STAMP_BANDS
 
 TILE = 256
-MEASURES = (
-    "cx double, cy double, radius double, ring_strength double, peak double, shift int, "
-    "ring_completeness double, d_ring double, d_digits double, d_gap double, d_text double, "
-    "d_outside double, text_angle double, text_strength double"
-)
+DISC = 0.62  # writing stands within this share of the radius
+THIN = "crop thinner than the radius"
 
 
-def candidate_crops(candidates: DataFrame) -> DataFrame:
-    """Add the crop ``box`` (two radii each way, inside the page); thin crops are skipped.
+def boxed_candidates(candidates: DataFrame) -> DataFrame:
+    """Add the crop ``box`` (two radii each way, inside the page) and ``skipped``.
 
-    ``candidates``: ``page_id, cand_id, cx, cy, radius, width, height, dpi``.
+    ``candidates``: ``page_id, cand_id, cx, cy, radius, width, height, dpi``. ``skipped`` says why a
+    candidate can't be verified, null if it can.
     """
     half = F.bround(F.col("radius") * 2)
-    boxed = candidates.withColumn(
-        "box", geo.clip(geo.centered(F.col("cx"), F.col("cy"), half), F.col("width"), F.col("height"))
-    )
-    return boxed.filter(
-        (geo.width(F.col("box")) >= F.col("radius")) & (geo.height(F.col("box")) >= F.col("radius"))
-    )
+    box = geo.clip(geo.centered(F.col("cx"), F.col("cy"), half), F.col("width"), F.col("height"))
+    boxed = candidates.withColumn("box", box)
+    thick = (geo.width(F.col("box")) >= F.col("radius")) & (geo.height(F.col("box")) >= F.col("radius"))
+    return boxed.withColumn("skipped", F.when(~F.coalesce(thick, F.lit(False)), F.lit(THIN)))
+
+
+def candidate_crops(candidates: DataFrame) -> DataFrame:
+    """The candidates that can be verified, with their crop ``box``; see ``skipped_candidates``."""
+    return boxed_candidates(candidates).filter("skipped is null").drop("skipped")
+
+
+def skipped_candidates(candidates: DataFrame) -> DataFrame:
+    """The other ones: ``page_id, cand_id, skipped`` (the reason)."""
+    return boxed_candidates(candidates).filter("skipped is not null").select("page_id", "cand_id", "skipped")
 
 
 def crop_ink(boxed: DataFrame, ink: DataFrame) -> DataFrame:
-    """Ink of every crop, relative to it: an equality on page tiles, then a cut to the box.
+    """Ink of every crop, ``crop_id, iy, ix`` in page pixels: an equality on page tiles, then a cut.
 
     A tile holds at most ``TILE * TILE`` pixels, so no key is hot even on the largest page.
     """
     b = F.col("box")
 
-    def tiles(lo: str, hi: str) -> F.Column:
+    def tiles(lo: str, hi: str) -> Column:
         return F.explode(F.sequence(F.floor(b[lo] / TILE).cast("int"), F.floor((b[hi] - 1) / TILE).cast("int")))
 
-    keys = boxed.select("page_id", "cand_id", "box", tiles("y0", "y1").alias("ty")).select(
-        "page_id", "cand_id", "box", "ty", tiles("x0", "x1").alias("tx")
+    keys = boxed.select("page_id", "crop_id", "box", tiles("y0", "y1").alias("ty")).select(
+        "page_id", "crop_id", "box", "ty", tiles("x0", "x1").alias("tx")
     )
     tiled = ink.select(
-        "page_id", "y", "x", F.floor(F.col("y") / TILE).cast("int").alias("ty"), F.floor(F.col("x") / TILE).cast("int").alias("tx")
+        "page_id", F.col("y").alias("iy"), F.col("x").alias("ix"),
+        F.floor(F.col("y") / TILE).cast("int").alias("ty"), F.floor(F.col("x") / TILE).cast("int").alias("tx"),
     )
     met = keys.join(tiled, ["page_id", "ty", "tx"])
     return met.filter(
-        (F.col("y") >= b["y0"]) & (F.col("y") < b["y1"]) & (F.col("x") >= b["x0"]) & (F.col("x") < b["x1"])
-    ).select(
-        F.col("page_id").alias("ink_page"), F.col("cand_id").alias("ink_cand"),
-        (F.col("y") - b["y0"]).alias("y"), (F.col("x") - b["x0"]).alias("x"),
-    )
+        (F.col("iy") >= b["y0"]) & (F.col("iy") < b["y1"]) & (F.col("ix") >= b["x0"]) & (F.col("ix") < b["x1"])
+    ).select("crop_id", "iy", "ix")
+
+
+def without_lines(crop: DataFrame, boxed: DataFrame, line_in: float) -> DataFrame:
+    """Crop ink minus long horizontal and vertical runs."""
+    run = F.greatest(F.lit(3), F.bround(F.lit(line_in) * F.col("dpi")).cast("int")).alias("run_px")
+    sized = crop.join(boxed.select("crop_id", run), "crop_id").select(
+        "crop_id", F.col("iy").alias("y"), F.col("ix").alias("x"), "run_px")
+    clean = raster.suppress_long_lines(sized, ["crop_id"], F.col("run_px"), carry=["run_px"])
+    return clean.select("crop_id", F.col("y").alias("iy"), F.col("x").alias("ix"))
+
+
+def ring_completeness(circles: DataFrame, raw: DataFrame, n_r: int, n_theta: int, min_ink: float = 0.25) -> DataFrame:
+    """Share of angles at which the ring carries ink, per crop."""
+    lo, hi = STAMP_BANDS["ring"]
+    samples = search.polar_ink(circles, raw, *POLAR_RANGE, n_r, n_theta)
+    inside = samples.filter(F.col("r_frac").between(lo, hi)) if _has_radius(STAMP_BANDS["ring"], n_r) else samples
+    radii = search.band_radii(STAMP_BANDS["ring"], *POLAR_RANGE, n_r)
+    angles = inside.groupBy("crop_id", "theta_i").agg((F.sum("ink") / radii).alias("v"))
+    return angles.groupBy("crop_id").agg(
+        (F.count_if(F.col("v") >= min_ink) / n_theta).alias("ring_completeness"))
+
+
+def _has_radius(band: tuple[float, float], n_r: int) -> bool:
+    lo, hi = POLAR_RANGE
+    return any(band[0] <= lo + (hi - lo) * i / max(1, n_r - 1) <= band[1] for i in range(n_r))
+
+
+def densities(circles: DataFrame, clean: DataFrame, n_r: int, n_theta: int) -> DataFrame:
+    """Mean ink per radial band, per crop: ``d_<band>``."""
+    samples = search.polar_ink(circles, clean, *POLAR_RANGE, n_r, n_theta)
+    sums = []
+    for name, band in STAMP_BANDS.items():
+        inside = F.col("r_frac").between(*band) if _has_radius(band, n_r) else F.lit(True)
+        radii = search.band_radii(band, *POLAR_RANGE, n_r)
+        sums.append((F.sum(F.when(inside, F.col("ink")).otherwise(F.lit(0.0))) / (radii * n_theta)).alias(f"d_{name}"))
+    return samples.groupBy("crop_id").agg(*sums)
 
 
 def measure(
@@ -64,40 +103,49 @@ def measure(
     """Refined geometry, dial match and band measures of every candidate.
 
     ``rank_only`` measures at the given circle. Otherwise the circle is refined, and rows
-    with ``matched`` get the dial search when there is a template. Candidate and ink rows
-    of one crop are co-grouped; a group is one crop.
+    with ``matched`` get the dial search when there is a template. Crops without ink have
+    zeros. The crops' ink is written once; all steps read it.
     """
-    pattern = None if template is None else np.asarray(template, dtype=float)
-    n_r, n_theta, line_in = config["n_radius"], config["n_theta"], config["verify_line_run_in"]
-
-    def run(key: tuple, rows: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
-        row = rows.iloc[0]
-        shape = int(row["y1"] - row["y0"]), int(row["x1"] - row["x0"])
-        raw = crops.Crop.from_pixels(pixels["y"].to_numpy(), pixels["x"].to_numpy(), *shape)
-        clean = crops.Crop(crops.without_long_lines(raw.mask, max(3, round(line_in * row["dpi"]))))
-        x, y, r, strength = row["cx"] - row["x0"], row["cy"] - row["y0"], row["radius"], 0.0
-        peak, shift = None, None
-        if not rank_only:
-            x, y, r, strength = crops.fit_circle(raw, x, y, r, max(2.0, r * 0.08), max(1.0, r * 0.02))
-            if pattern is not None and row["matched"]:
-                found = crops.match_dial(clean, x, y, r, pattern, max(3.0, r * 0.045), max(1.0, r * 0.008))
-                if found[0] > 0:
-                    peak, shift, x, y, r = found
-        angle, direction = (0.0, 0.0) if rank_only else crops.text_direction(clean.mask, x, y, r)
-        values = {
-            "page_id": key[0], "cand_id": key[1], "cx": x + row["x0"], "cy": y + row["y0"], "radius": r,
-            "ring_strength": strength, "peak": peak, "shift": shift,
-            **crops.band_measures(raw, clean, x, y, r, n_r, n_theta),
-            "text_angle": angle, "text_strength": direction,
-        }
-        return pd.DataFrame([values])[order]
-
-    out = f"page_id {boxed.schema['page_id'].dataType.simpleString()}, cand_id {boxed.schema['cand_id'].dataType.simpleString()}, {MEASURES}"
-    order = [part.split()[0] for part in out.split(", ")]
-    # A fixed partition count: the searches cost far more than the bytes suggest.
-    facts = co_locate(boxed, ["page_id", "cand_id"]).select("page_id", "cand_id", "cx", "cy", "radius", "dpi", "matched", "box.*")
-    return (
-        facts.groupBy("page_id", "cand_id")
-        .cogroup(co_locate(crop_ink(boxed, ink), ["ink_page", "ink_cand"]).groupBy("ink_page", "ink_cand"))
-        .applyInPandas(run, out)
-    )
+    crops = cut_lineage(boxed.select(
+        "page_id", "cand_id", "cx", "cy", "radius", "dpi", "matched", "box",
+        F.monotonically_increasing_id().alias("crop_id")))
+    raw = cut_lineage(crop_ink(crops, ink))
+    clean = cut_lineage(without_lines(raw, crops, config["verify_line_run_in"]))
+    n_r, n_theta = config["n_radius"], config["n_theta"]
+    given = crops.select("crop_id", "cx", "cy", "radius")
+    nothing = F.lit(None)
+    if rank_only:
+        placed = given.withColumns({
+            "ring_strength": F.lit(0.0), "peak": nothing.cast("double"), "shift": nothing.cast("int")})
+    else:
+        fitted = search.fit_circles(given, raw).select(
+            "crop_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("r").alias("radius"),
+            F.col("value").alias("ring_strength"))
+        placed = cut_lineage(fitted)
+        if template is None:
+            placed = placed.withColumns({"peak": nothing.cast("double"), "shift": nothing.cast("int")})
+        else:
+            asked = placed.join(crops.filter("matched").select("crop_id"), "crop_id", "left_semi")
+            dial = search.match_dials(asked.select("crop_id", "cx", "cy", "radius"), clean, template).filter("peak > 0")
+            placed = cut_lineage(placed.join(dial, "crop_id", "left").select(
+                "crop_id", F.coalesce("x", "cx").alias("cx"), F.coalesce("y", "cy").alias("cy"),
+                F.coalesce("r", "radius").alias("radius"), "ring_strength", "peak", "shift"))
+    circles = placed.select("crop_id", "cx", "cy", "radius")
+    complete = ring_completeness(circles, raw, n_r, n_theta)
+    bands = densities(circles, clean, n_r, n_theta)
+    out = crops.select("crop_id", "page_id", "cand_id").join(placed, "crop_id")
+    out = out.join(complete, "crop_id", "left").join(bands, "crop_id", "left")
+    if rank_only:
+        out = out.withColumns({"text_angle": F.lit(0.0), "text_strength": F.lit(0.0)})
+    else:
+        disc = clean.join(circles, "crop_id").filter(
+            F.hypot(F.col("ix") - F.col("cx"), F.col("iy") - F.col("cy")) <= DISC * F.col("radius"))
+        # The dial and the outline stay out; what is left is writing.
+        lines = orientation.line_direction(
+            cut_lineage(disc.select("crop_id", F.col("iy").alias("y"), F.col("ix").alias("x"))), "crop_id")
+        out = out.join(lines.select(
+            "crop_id", F.col("angle").alias("text_angle"), F.col("strength").alias("text_strength")), "crop_id", "left")
+    zeros = ["ring_completeness", "text_angle", "text_strength", *[f"d_{b}" for b in STAMP_BANDS]]
+    return out.fillna(0.0, zeros).select(
+        "page_id", "cand_id", "cx", "cy", "radius", "ring_strength", "peak", "shift", "ring_completeness",
+        *[f"d_{b}" for b in STAMP_BANDS], "text_angle", "text_strength")

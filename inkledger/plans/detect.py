@@ -16,7 +16,7 @@ from inkledger.operators import hough, orientation, raster, signatures, verify
 from inkledger.operators.detections import score_evidence
 from inkledger.operators.polar import linspace
 from inkledger.session import cut_lineage
-from inkledger.vocabulary import DATE_STAMP_DEFAULTS, WORK_DPI
+from inkledger.vocabulary import DATE_STAMP_DEFAULTS, RANKED_PER_KEPT, WORK_DPI
 
 Detector = Callable[[DataFrame, DataFrame], DataFrame]
 _FACTORIES: dict[str, tuple[Callable[..., Detector], dict]] = {}
@@ -97,7 +97,7 @@ def coarse_pass(ink: DataFrame, pages: DataFrame, config: dict) -> DataFrame:
         ),
         "factor", "x0", "y0",
     )
-    # Bands overlap, so one stamp may appear twice; a page has at most a dozen per band.
+    # Bands overlap, so one stamp may appear twice.
     return hough.greedy_suppression(
         native.select(
             "page_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"), "radius", "votes",
@@ -133,19 +133,25 @@ def verify_candidates(
 ) -> DataFrame:
     """Two passes: rank the strongest on geometry, then refine, match the top few, score.
 
-    The ranking is written out once, since both the second pass and its match budget read
-    it. Top-k filters run before their shuffle.
+    ``max_per_page`` and ``match_budget`` limit what is ranked, matched and kept of a page; without
+    them all candidates are (``budget_report`` counts what limits cut). The ranking is written out
+    once, since both the second pass and its match budget read it. Top-k filters run before
+    their shuffle.
     """
+    most, budget = config["max_per_page"], config["match_budget"]
     by_votes = Window.partitionBy("page_id").orderBy(F.col("votes").desc(), "cy", "cx")
-    first = candidates.withColumn("_k", F.row_number().over(by_votes)).filter(
-        F.col("_k") <= config["max_per_page"] * 3
-    ).withColumn("cand_id", F.col("_k")).withColumn("matched", F.lit(False)).drop("_k")
+    first = candidates.withColumn("cand_id", F.row_number().over(by_votes))
+    if most is not None:
+        first = first.filter(F.col("cand_id") <= most * RANKED_PER_KEPT)
+    first = first.withColumn("matched", F.lit(False))
     boxed = verify.candidate_crops(first)
     ranks = verify.measure(boxed, ink, config, None, rank_only=True)
     scored = score_evidence(ranks, F.col("ring_completeness"), densities(), F.lit(0.0), geometry_only=True)
     by_rank = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "cand_id")
-    budget = config["match_budget"] if template is not None else 0
-    order = scored.select("page_id", "cand_id", (F.row_number().over(by_rank) <= budget).alias("matched"))
+    earns = F.lit(template is not None)
+    if template is not None and budget is not None:
+        earns = F.row_number().over(by_rank) <= budget
+    order = scored.select("page_id", "cand_id", earns.alias("matched"))
     ranked = cut_lineage(boxed.drop("matched").join(order, ["page_id", "cand_id"]))
     measured = verify.measure(ranked, ink, config, template, rank_only=False)
     facts = ranked.select("page_id", "cand_id", "width", "height", "dpi", "box")
@@ -165,10 +171,17 @@ def verify_candidates(
         orientation.upright_rotation(F.col("text_angle"), F.col("text_strength"), F.col("angle_deg"), upright_offset),
     ).withColumn("decision", decision(F.col("score"), config["t_hit"], config["t_miss"]))
     by_score = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "cand_id")
-    kept = known.withColumn("det_id", F.row_number().over(by_score)).filter(
-        F.col("det_id") <= config["max_per_page"]
-    )
-    return detection_record(kept)
+    kept = known.withColumn("det_id", F.row_number().over(by_score))
+    return detection_record(kept if most is None else kept.filter(F.col("det_id") <= most))
+
+
+def budget_report(candidates: DataFrame, config: dict) -> DataFrame:
+    """Per page: candidates, and how many of them the config's limits leave unranked or drop."""
+    n, none, most = F.col("n_candidates"), F.lit(0).cast("long"), config["max_per_page"]
+    ranked = n if most is None else F.least(n, F.lit(most * RANKED_PER_KEPT).cast("long"))
+    kept = ranked if most is None else F.least(ranked, F.lit(most).cast("long"))
+    return candidates.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_candidates")).select(
+        "page_id", "n_candidates", (n - ranked).alias("n_unranked"), F.greatest(none, ranked - kept).alias("n_dropped"))
 
 
 def detection_record(rows: DataFrame) -> DataFrame:

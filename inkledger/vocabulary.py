@@ -107,16 +107,20 @@ DATE_STAMP_DEFAULTS = {
     "overlap_in": 2.5,
     "line_run_in": 1.5,
     "min_vote_fraction": 0.22,
-    "max_candidates_per_band": 12,
+    "max_candidates_per_band": None,
     "verify_line_run_in": 0.35,
     "n_theta": 360,
     "n_radius": 56,
     "t_hit": 0.62,
     "t_miss": 0.38,
-    "max_per_page": 6,
-    "match_budget": 3,
+    "max_per_page": None,
+    "match_budget": None,
     "template_npz": None,
 }
+# Limits for pages read one by one, to be passed where they are wanted; nothing is cut without.
+PAGE_BUDGET = {"max_candidates_per_band": 12, "max_per_page": 6, "match_budget": 3}
+# Candidates ranked by votes per detection that may be kept.
+RANKED_PER_KEPT = 3
 WORK_DPI = 100.0
 
 # Below this peak-to-median ratio the projection shows no line direction.

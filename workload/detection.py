@@ -132,7 +132,7 @@ def decision_summary(t: Tables) -> DataFrame:
 )
 def two_pass_budget(t: Tables) -> DataFrame:
     rows = scored(t, geometry_only=True).withColumn("g", F.round("score", 9))
-    return det.within_budget(rows, "page_id", "contrast", "g", "det_id").select(
+    return det.within_budget(rows, "page_id", "contrast", "g", "det_id", first_n=18, match_n=3, keep_n=6).select(
         "page_id", "det_id", "matched", "then_rank"
     )
 
