@@ -67,10 +67,10 @@ def detect_roles(columns: list[str], **chosen: str | None) -> ManifestRoles:
     return ManifestRoles(**bound)
 
 
-def number_rows(rows: DataFrame, first: int = 2) -> DataFrame:
+def number_rows(rows: DataFrame, first: int = 2, whole_folder: bool = False) -> DataFrame:
     """Add ``import_row``: kept rows of each file counted from ``first``, in file order.
 
-    Counts per file block and running offsets replace a global window; the block
+    With ``whole_folder`` the count goes on through the files of a folder by name. Counts per file block and running offsets replace a global window; the block
     table has one row per input split.
     """
     placed = rows.select(
@@ -81,8 +81,9 @@ def number_rows(rows: DataFrame, first: int = 2) -> DataFrame:
     blocks = placed.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_low")
     )
+    of = F.regexp_replace("_file", "[^/]*$", "") if whole_folder else F.col("_file")
     before = (
-        Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(of).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = blocks.select(
         "_file", "_block", "_low",

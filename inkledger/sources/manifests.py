@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import text as tx
 from inkledger.operators.manifest import ManifestError, number_rows
+from inkledger.sources import delimited
 from inkledger.vocabulary import ROLE_ALIASES
 
 DELIMITERS = ",\t;|"
@@ -39,11 +40,14 @@ def _drop_blank_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.filter(F.concat_ws("", *[F.col(f"`{c}`") for c in columns]) != "")
 
 
-def read_identifier_list(spark: SparkSession, path: str) -> DataFrame:
-    """One identifier per non-blank line; the column is ``input_value``."""
+def read_identifier_list(spark: SparkSession, path: str, whole_folder: bool = False) -> DataFrame:
+    """One identifier per non-blank line; the column is ``input_value``.
+
+    Rows count per file, or with ``whole_folder`` through the files of a folder in name order.
+    """
     lines = spark.read.text(path).select("*", "_metadata")
     kept = lines.withColumn("input_value", tx.strip("value")).filter("input_value <> ''").drop("value")
-    return number_rows(kept).drop("_metadata")
+    return number_rows(kept, whole_folder=whole_folder).drop("_metadata")
 
 
 def _head(spark: SparkSession, path: str) -> tuple[str, str]:
@@ -65,33 +69,29 @@ def _head(spark: SparkSession, path: str) -> tuple[str, str]:
         asked *= 4  # the record goes on behind these lines
 
 
-def sniff(sample: str, path: str) -> str:
-    """Delimiter of a sample; tab for .tsv and comma otherwise when undecided."""
+def sniff(sample: str, path: str) -> delimited.Dialect:
+    """Dialect of a sample; where it is undecided, tab for .tsv and comma otherwise."""
     try:
-        return csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
+        found = csv.Sniffer().sniff(sample, delimiters=DELIMITERS)
     except csv.Error:
-        return "\t" if path.lower().endswith(".tsv") else ","
+        return delimited.Dialect("\t" if path.lower().endswith(".tsv") else ",")
+    # A sample without a doubled quote doesn't say that none will come.
+    return delimited.Dialect(found.delimiter, found.quotechar or '"', True, found.skipinitialspace)
 
 
-def read_delimited(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, whole_folder: bool = False) -> DataFrame:
     """All-text manifest with cleaned headers; short rows padded, extra cells dropped.
 
-    ``multiline`` keeps quoted line breaks right and reads a file in one task. A very large
-    file without quoted line breaks can be split with ``multiline=False``.
+    Files are read in splits, quoted line breaks or not (``delimited.read_records``). All files
+    of ``path`` have the header of the first; ``whole_folder`` counts their rows through as the parts
+    of one manifest.
     """
     sample, header = _head(spark, path)
     if not sample.strip():
         raise ManifestError("the selected file is empty")
-    delimiter = sniff(sample, path)
-    headers = unique_headers(next(csv.reader(io.StringIO(header, newline=""), delimiter=delimiter)))
-    schema = ", ".join(f"`{h.replace('`', '``')}` STRING" for h in headers)
-    raw = (
-        spark.read.schema(schema).option("sep", delimiter).option("header", True).option("quote", '"')
-        .option("escape", '"').option("multiLine", multiline).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").csv(path)
-    ).select("*", "_metadata")
-    cells = raw.select(*[tx.text_or_blank(F.col(f"`{h}`")).alias(h) for h in headers], "_metadata")
-    return number_rows(_drop_blank_rows(cells, headers)).drop("_metadata")
+    dialect = sniff(sample, path)
+    headers = unique_headers(next(dialect.reader(io.StringIO(header, newline=""))))
+    return delimited.read_records(spark, path, headers, dialect, whole_folder)
 
 
 # ----------------------------------------------------------------------- workbooks

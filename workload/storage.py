@@ -21,10 +21,17 @@ from workload.registry import Tables, query
 from workload.views import ctes
 
 
-def _one_file(rows: DataFrame, spark, **options) -> str:
-    """A manifest is one file, so the fixture is written as one part."""
+PARTS = 8
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """A manifest in several part files whose names follow ``import_row``."""
+    return rows.repartitionByRange(PARTS, "import_row").sortWithinPartitions("import_row")
+
+
+def _written(rows: DataFrame, spark, **options) -> str:
     path = scratch_path(spark)
-    rows.coalesce(1).write.options(**options).csv(path)
+    _in_parts(rows).drop("import_row").write.options(**options).csv(path)
     return path
 
 
@@ -33,12 +40,12 @@ def _one_file(rows: DataFrame, spark, **options) -> str:
     "WITH " + ctes("manifest_v") + """ SELECT row_number() OVER (ORDER BY import_row) + 1 AS import_row, raw_identifier AS input_value FROM manifest_v WHERE import_row % 5 <> 0""",
 )
 def identifier_list_scan(t: Tables) -> DataFrame:
-    lines = t.manifest_v.orderBy("import_row").select(
+    lines = _in_parts(t.manifest_v.select("import_row", "raw_identifier")).select(
         F.when(F.col("import_row") % 5 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("raw_identifier"))).alias("value")
     )
     path = scratch_path(t.spark)
-    lines.coalesce(1).write.text(path)
-    return manifests.read_identifier_list(t.spark, path).select("import_row", "input_value")
+    lines.write.text(path)
+    return manifests.read_identifier_list(t.spark, path, whole_folder=True).select("import_row", "input_value")
 
 
 @query(
@@ -46,13 +53,30 @@ def identifier_list_scan(t: Tables) -> DataFrame:
     "WITH " + ctes("manifest_v") + """ SELECT row_number() OVER (ORDER BY import_row) + 1 AS import_row, raw_identifier AS "UWI", raw_path AS "TIFPATH", raw_depth AS "Depth1", 'a "b"; c' AS column_4, raw_depth AS "depth1_2" FROM manifest_v""",
 )
 def delimited_manifest_scan(t: Tables) -> DataFrame:
-    rows = t.manifest_v.orderBy("import_row").select(
+    rows = t.manifest_v.select(
         F.col("raw_identifier").alias("UWI"), F.col("raw_path").alias("TIFPATH"), F.col("raw_depth").alias("Depth1"),
-        F.lit('a "b"; c').alias(" "), F.concat(F.lit(" "), F.col("raw_depth")).alias("depth1"),
+        F.lit('a "b"; c').alias(" "), F.concat(F.lit(" "), F.col("raw_depth")).alias("depth1"), "import_row",
     )
-    renamed = rows.toDF("UWI", "TIFPATH", "Depth1", " ", "depth1 ")
-    path = _one_file(renamed, t.spark, header="true", sep=";", escape='"')
-    return manifests.read_delimited(t.spark, path).drop("source_path")
+    renamed = rows.toDF("UWI", "TIFPATH", "Depth1", " ", "depth1 ", "import_row")
+    path = _written(renamed, t.spark, header="true", sep=";", escape='"')
+    return manifests.read_delimited(t.spark, path, whole_folder=True).drop("source_path")
+
+
+@query(
+    "quoted_manifest_parts",
+    "WITH " + ctes("manifest_v") + """ SELECT row_number() OVER (ORDER BY import_row) + 1 AS import_row, raw_identifier AS "UWI",
+         'top, ' || raw_depth || chr(10) || chr(10) || '"second" line' || CASE WHEN import_row % 7 = 0 THEN chr(10) || 'x,y' ELSE '' END AS "COMMENT", raw_path AS "TIFPATH"
+       FROM manifest_v""",
+)
+def quoted_manifest_parts(t: Tables) -> DataFrame:
+    """Comments with commas, quotes, blank lines and line breaks, in part files."""
+    comment = F.concat(
+        F.lit("top, "), F.col("raw_depth"), F.lit('\n\n"second" line'),
+        F.when(F.col("import_row") % 7 == 0, F.lit("\nx,y")).otherwise(F.lit("")))
+    rows = t.manifest_v.select(
+        F.col("raw_identifier").alias("UWI"), comment.alias("COMMENT"), F.col("raw_path").alias("TIFPATH"), "import_row")
+    path = _written(rows, t.spark, header="true", escape='"')
+    return manifests.read_delimited(t.spark, path, whole_folder=True).drop("source_path")
 
 
 @query(
@@ -60,11 +84,11 @@ def delimited_manifest_scan(t: Tables) -> DataFrame:
     imports.chain("SELECT load_status, count(*) AS n_rows FROM audit GROUP BY load_status"),
 )
 def manifest_file_to_status(t: Tables) -> DataFrame:
-    rows = t.manifest_v.orderBy("import_row").select(
-        F.col("raw_identifier").alias("UWI"), F.col("raw_path").alias("TIFPATH"), F.col("raw_depth").alias("raw_depth"),
+    rows = t.manifest_v.select(
+        F.col("raw_identifier").alias("UWI"), F.col("raw_path").alias("TIFPATH"), F.col("raw_depth").alias("raw_depth"), "import_row",
     )
-    path = _one_file(rows, t.spark, header="true", escape='"')
-    table = manifests.read_delimited(t.spark, path)
+    path = _written(rows, t.spark, header="true", escape='"')
+    table = manifests.read_delimited(t.spark, path, whole_folder=True)
     roles = detect_roles([c for c in table.columns if c not in ("import_row", "source_path")])
     plan = imports.ManifestImport(table, roles, t.catalog_v, t.probe_v, depth_filter=imports.DEPTH)
     return plan.audit.groupBy("load_status").agg(F.count(F.lit(1)).alias("n_rows"))
