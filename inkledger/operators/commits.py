@@ -17,7 +17,12 @@ from inkledger.operators.ledger import file_key
 from inkledger.operators.skew import salted_join
 
 
-def draft_states(commits: DataFrame) -> DataFrame:
+COMMIT_COLUMNS = (
+    "commit_id", "file_name", "has_stamp", "stamp_types", "log_types", "notes", "reviewed_at", "reviewed_by",
+)
+
+
+def draft_states(commits: DataFrame, *carry: Column) -> DataFrame:
     """Valid drafts with their canonical state and order key.
 
     Drafts without a reviewer or with an unfinished yes are refused.
@@ -36,11 +41,51 @@ def draft_states(commits: DataFrame) -> DataFrame:
             file_key("file_name").alias("file_key"),
             draft.alias("draft"),
             F.struct("reviewed_at", "commit_id").alias("at"),
-            "file_name", "reviewed_by",
+            "file_name", "reviewed_by", *carry,
         )
     )
 
 
+def _closing(drafts: DataFrame) -> DataFrame:
+    """Per file: its last draft, how often that occurs, and when another was last current.
+
+    Latest time of every distinct draft of a file; at most two rows per file matter.
+    """
+    per_draft = drafts.groupBy("file_key", "draft").agg(
+        F.max("at").alias("at"), F.count(F.lit(1)).alias("n")
+    )
+    order = Window.partitionBy("file_key").orderBy(F.col("at").desc())
+    top = per_draft.withColumn("k", F.row_number().over(order)).filter("k <= 2")
+    return top.groupBy("file_key").agg(
+        F.max(F.when(F.col("k") == 1, F.struct("draft"))).alias("last"),
+        F.max(F.when(F.col("k") == 2, F.col("at"))).alias("other_at"),
+        F.max(F.when(F.col("k") == 1, F.col("n"))).alias("n"),
+    ).select("file_key", F.col("last.draft").alias("draft"), "other_at", "n")
+
+
+def live_commits(commits: DataFrame, settled: Column | None = None) -> DataFrame:
+    """The valid commits on which a file's state can still depend, however many come later.
+
+    These are the closing run of equal drafts and the last commit with another draft before it.
+    Commits from before that stay without effect when others are added anywhere, so ``latest_edits``
+    of the live ones, with any later ones, is that of all. ``settled`` marks commits among which no
+    other will come: of a run those go, except its first.
+    """
+    drafts = draft_states(commits, F.struct(*COMMIT_COLUMNS).alias("commit"))
+    closing = _closing(drafts).select("file_key", F.col("draft").alias("last"), "other_at")
+    sizes = drafts.groupBy("file_key").agg(F.count(F.lit(1)).alias("n"))
+    kept = salted_join(drafts, closing.join(sizes, "file_key"), ["file_key"], "inner", weight="n").filter(
+        F.col("other_at").isNull() | (F.col("at") >= F.col("other_at")))
+    if settled is not None:
+        in_run = F.col("draft") == F.col("last")
+        begins = kept.filter(in_run).groupBy("file_key").agg(
+            F.min("at").alias("begins"), F.count(F.lit(1)).alias("m"))
+        kept = kept.select("file_key", "at", "draft", "last", "commit", "commit.*")
+        kept = salted_join(kept.drop("file_name"), begins, ["file_key"], "inner", weight="m").filter(
+            ~(in_run & settled & (F.col("at") > F.col("begins"))))
+    return kept.select("commit.*")
+
+
 def blank_draft() -> Column:
     return F.struct(
         F.lit(None).cast("boolean").alias("has_stamp"), F.lit("").alias("stamp_type"),
@@ -62,17 +107,7 @@ def latest_edits(commits: DataFrame, baseline: DataFrame | None = None) -> DataF
     after that. ``baseline`` (``file_key`` + draft fields) is the state before all commits.
     """
     drafts = draft_states(commits)
-    # Latest time of every distinct draft of a file; at most two rows per file matter.
-    per_draft = drafts.groupBy("file_key", "draft").agg(
-        F.max("at").alias("at"), F.count(F.lit(1)).alias("n")
-    )
-    order = Window.partitionBy("file_key").orderBy(F.col("at").desc())
-    top = per_draft.withColumn("k", F.row_number().over(order)).filter("k <= 2")
-    closing = top.groupBy("file_key").agg(
-        F.max(F.when(F.col("k") == 1, F.struct("draft"))).alias("last"),
-        F.max(F.when(F.col("k") == 2, F.col("at"))).alias("other_at"),
-        F.max(F.when(F.col("k") == 1, F.col("n"))).alias("n"),
-    ).select("file_key", F.col("last.draft").alias("draft"), "other_at", "n")
+    closing = _closing(drafts)
     run = salted_join(drafts, closing, ["file_key", "draft"], "inner", weight="n").filter(
         F.col("other_at").isNull() | (F.col("at") > F.col("other_at"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkledger.operators import commits, ledger, subsets
 from inkledger.plans.manifest_import import ManifestImport
-from inkledger.sources import sinks
+from inkledger.sources import sinks, versions
 
 
 def commit_and_count(stored: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,24 +22,21 @@ def import_files(plan: ManifestImport) -> DataFrame:
     return plan.files.withColumn("from_manifest", F.lit(True))
 
 
-def replace_subset(plan: ManifestImport, stored: DataFrame, ledger_path: str, subset_path: str) -> bool:
+def replace_subset(plan: ManifestImport, stored: DataFrame, root: str) -> bool:
     """Make the loaded identifiers of an import the new subset, all or nothing.
 
-    Nothing changes unless at least one path resolved. The subset is staged first and the
-    ledger swap is the commit point; a failed swap leaves both old tables in place.
+    Nothing changes unless at least one path resolved. The ledger with the import's new files and
+    the subset become the tables ``ledger`` and ``subset`` of one new version of the store ``root``
+    (``sources.versions``): readers see both or neither, and a failing write leaves both old ones.
     """
     if not plan.resolved.filter("resolved_path is not null").take(1):
         return False
-    spark = stored.sparkSession
     members, rejected = subsets.define(
         plan.loaded_identifiers.select(F.col("id_rank").alias("position"), F.col("identifier").alias("value"))
     )
     if rejected.take(1):
         raise ValueError("a subset identifier must contain 1 to 14 digits")
-    staged = f"{subset_path}.staging"
-    members.write.mode("overwrite").parquet(staged)
-    sinks.save_ledger(
-        ledger.merge_files(stored, import_files(plan)), ledger_path, declared=list(plan.roles.metadata())
-    )
-    sinks.swap_in(spark, staged, subset_path)
+    merged = ledger.merge_files(stored, import_files(plan))
+    rows = sinks.ledger_rows(merged, declared=list(plan.roles.metadata()))
+    versions.write_tables(stored.sparkSession, root, {"ledger": rows, "subset": members})
     return True

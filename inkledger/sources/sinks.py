@@ -18,21 +18,22 @@ from inkledger.vocabulary import DEFAULT_STAMP_TYPES, LEDGER_COLUMNS, METADATA_C
 BOM = "﻿"
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
+def hadoop_fs(spark: SparkSession, path: str):
+    """File system of a path, the path, and the JVM."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, where, _ = _hadoop_fs(spark, path)
+    fs, where, _ = hadoop_fs(spark, path)
     return fs.exists(where)
 
 
 def swap_in(spark: SparkSession, staged: str, target: str) -> None:
     """Replace ``target`` by the finished ``staged`` directory; the old one is kept aside
     until the new one is in place and comes back if the move fails."""
-    fs, source, jvm = _hadoop_fs(spark, staged)
+    fs, source, jvm = hadoop_fs(spark, staged)
     goal = jvm.org.apache.hadoop.fs.Path(target)
     aside = jvm.org.apache.hadoop.fs.Path(f"{target}.old-{uuid.uuid4().hex}")
     had_old = fs.exists(goal)
@@ -134,23 +135,26 @@ def save_ledger(ledger: DataFrame, path: str, order: DataFrame | None = None,
     ``order`` (``name, position``) comes first and the remaining rows after it. Order is
     data: ``save_phase`` and ``position`` columns are stored with every row.
     """
-    spark = ledger.sparkSession
+    staged = f"{path}.staging-{uuid.uuid4().hex}"
+    ledger_rows(ledger, order, declared).write.parquet(staged)
+    swap_in(ledger.sparkSession, staged, path)
+    return path
+
+
+def ledger_rows(ledger: DataFrame, order: DataFrame | None = None, declared: list[str] = ()) -> DataFrame:
+    """The review table as it is stored, with its order as columns."""
     columns = ledger_columns(ledger, list(declared))
     if order is None:
         ordered = ledger.withColumn("save_phase", F.lit(0)).withColumn("save_position", F.col("position"))
     else:
         ordered = keep_extras(ledger, order)
-    rows = ordered.select(
+    return ordered.select(
         *[
             {"file_link": F.col("file_name"), "type_of_stamp": F.col("stamp_type")}.get(c, F.col(c) if c in ordered.columns else F.lit("")).alias(c)
             for c in columns
         ],
         "save_phase", F.col("save_position").cast("long").alias("position"),
     )
-    staged = f"{path}.staging-{uuid.uuid4().hex}"
-    rows.write.parquet(staged)
-    swap_in(spark, staged, path)
-    return path
 
 
 # --------------------------------------------------------------------- label lists

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkledger.operators import commits, labels, ledger, subsets
-from inkledger.sources import sinks
+from inkledger.sources import sinks, versions
 from inkledger.streaming import commits as stream
 
 
@@ -113,6 +113,63 @@ def test_stream_equals_batch_and_repeats(spark, tmp_path):
     assert edits_as_dict(stream.current(spark, target)) == edits_as_dict(commits.latest_edits(rows))
 
 
+@pytest.mark.parametrize("size", [1, 7, 60])
+def test_live_commits_are_enough(spark, size):
+    """Whatever comes later, the live commits of the first part decide as all of it would."""
+    rows = random_commits(180)
+    random.Random(size).shuffle(rows)
+    kept, want = None, None
+    for at in range(0, 180, 60):
+        table = spark.createDataFrame(rows[at:at + 60], SCHEMA)
+        merged = table if kept is None else table.unionByName(spark.createDataFrame(kept, SCHEMA))
+        kept = [r.asDict() for r in commits.live_commits(merged).collect()]
+        assert edits_as_dict(commits.latest_edits(spark.createDataFrame(kept, SCHEMA))) == fold(rows[:at + 60])
+    assert len(kept) < 60
+    late = rows[:size]
+    again = commits.live_commits(spark.createDataFrame(kept + late, SCHEMA).dropDuplicates(["commit_id"]))
+    assert edits_as_dict(commits.latest_edits(again)) == fold(rows)
+
+
+def test_state_does_not_grow_with_the_log(spark, tmp_path):
+    """300 commits in 6 batches leave a few rows, with and without forgetting settled ones."""
+    rows = [{"commit_id": i, "file_name": f"{i % 3}.tif", "has_stamp": False, "stamp_types": [], "log_types": [],
+             "notes": "same" if i > 150 else f"n{i % 5}", "reviewed_at": i, "reviewed_by": "R"} for i in range(300)]
+    want = fold(rows)
+    for lateness, most in ((None, 160), (10.0, 20)):
+        target = str(tmp_path / f"t{most}")
+        body = stream.upsert_batch(target, buckets=2, lateness=lateness)
+        for b in range(6):
+            body(spark.createDataFrame(rows[b * 50:b * 50 + 50], SCHEMA), b)
+            assert stream.stored_commits(spark, target).count() <= most
+        assert edits_as_dict(stream.current(spark, target)) == want
+        assert len(list((tmp_path / f"t{most}" / "versions").glob("*.json"))) == 2
+    # The unchanged draft is credited to its first commit even after the rest is forgotten.
+    assert {k: v[-1] for k, v in want.items()} == {"0.tif": 153, "1.tif": 151, "2.tif": 152}
+
+
+def test_two_tables_change_at_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    one, two = spark.range(3).toDF("a"), spark.range(5).toDF("b")
+    assert versions.read_table(spark, root, "ledger") is None
+    assert versions.write_tables(spark, root, {"ledger": one, "subset": two}) == 1
+
+    def counts(number=None):
+        return [versions.read_table(spark, root, t, number).count() for t in ("ledger", "subset")]
+
+    failing = two.select(F.raise_error(F.lit("disk")).alias("b"))
+    with pytest.raises(Exception, match="disk"):
+        versions.write_tables(spark, root, {"ledger": spark.range(9).toDF("a"), "subset": failing})
+    assert counts() == [3, 5]
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 2  # what was written is gone
+    assert versions.write_tables(spark, root, {"ledger": spark.range(9).toDF("a")}) == 2
+    assert counts() == [9, 5] and counts(1) == [3, 5]
+    with pytest.raises(versions.VersionConflict):
+        versions.publish(spark, root, 1, {})
+    assert counts() == [9, 5]
+    versions.write_tables(spark, root, {"subset": spark.range(1).toDF("b")})
+    assert versions.expire(spark, root, keep=2) == 1 and counts() == [9, 1] and counts(2) == [9, 5]
+
+
 def test_failed_save_keeps_old_table(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "review")
     table = ledger.conform(old_sheet(spark))

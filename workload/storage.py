@@ -13,7 +13,7 @@ from inkledger.operators import audit, ledger
 from inkledger.operators.manifest import detect_roles
 from inkledger.plans import review
 from inkledger.session import scratch_path
-from inkledger.sources import manifests, sinks
+from inkledger.sources import manifests, sinks, versions
 from inkledger.streaming import commits as stream
 from workload import detection, imports
 from workload import ledger as lw
@@ -151,10 +151,10 @@ def label_catalog_round_trip(t: Tables) -> DataFrame:
 def commit_upsert_stream(t: Tables) -> DataFrame:
     source, target = scratch_path(t.spark), scratch_path(t.spark)
     drafts = lw.drafts_of(t)
-    # Three files in an order that is not the commit order, one per micro-batch.
-    for part in (1, 2, 0):
-        drafts.filter(F.col("commit_id") % 3 == part).coalesce(1).write.mode("append").parquet(source)
-    incoming = t.spark.readStream.schema(drafts.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # Late commits, and the second third twice; a micro-batch takes two files.
+    for part in (1, 2, 1, 0):
+        drafts.filter(F.col("commit_id") % 3 == part).repartition(2).write.mode("append").parquet(source)
+    incoming = t.spark.readStream.schema(drafts.schema).option("maxFilesPerTrigger", 2).parquet(source)
     stream.start(incoming, target, scratch_path(t.spark), buckets=8).awaitTermination()
     return stream.current(t.spark, target).select(
         "file_key", "file_name", "has_stamp", "stamp_type", "commit_id", "reviewed_by"
@@ -166,10 +166,9 @@ def commit_upsert_stream(t: Tables) -> DataFrame:
     imports.chain("SELECT identifier, id_rank AS position FROM wells WHERE n_resolved > 0"),
 )
 def subset_from_import(t: Tables) -> DataFrame:
-    ledger_path, subset_path = scratch_path(t.spark), scratch_path(t.spark)
-    done = review.replace_subset(imports.plan(t), lw.ledger_of(t), ledger_path, subset_path)
-    assert done
-    return t.spark.read.parquet(subset_path)
+    root = scratch_path(t.spark)
+    assert review.replace_subset(imports.plan(t), lw.ledger_of(t), root)
+    return versions.read_table(t.spark, root, "subset")
 
 
 @query(
