@@ -66,14 +66,12 @@ def repeated_spans(words: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray
         own = np.bincount(rank[at])
         if not (own > 1).any():
             break
-        # Longer by doubling, for the suffixes still at stake; the others keep a rank apart.
+        # Longer by doubling, for the suffixes still at stake; the others keep their place in the
+        # order of content, which the suffixes that lead to them are sorted by.
         step = levels[-1][0]
-        key = np.unique(paired(rank, step, at), return_inverse=True)[1]
-        wider = np.full(n, -1, np.int64)
-        wider[at] = key
-        rest = np.flatnonzero(wider < 0)
-        wider[rest] = key.max() + 1 + np.arange(len(rest))
-        rank = wider
+        wider = rank * (rank.max() + 2)
+        wider[at] = paired(rank, step, at)
+        rank = np.unique(wider, return_inverse=True)[1]
         levels.append((2 * step, rank))
     order = at[np.argsort(rank[at])]
     a, b = order[:-1], order[1:]
