@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.operators import suppression
-from inkledger.operators.raster import box_scatter
+from inkledger.operators.raster import box_scatter, spread_runs
 
 
 def cast_votes(normals: DataFrame, by: list[str], radii: list[float] | None = None) -> DataFrame:
@@ -39,22 +39,21 @@ def gather_size(radius: float, fraction: float = 0.22) -> int:
 def gather_votes(votes: DataFrame, by: list[str], fraction: float = 0.22) -> DataFrame:
     """Window sum of the vote cloud; the window grows with the radius and is odd.
 
-    Separable: along x, then along y. Cells outside the raster take no part.
+    Separable: along x, then along y, each by adding up steps (``raster.spread_runs``), so its cost
+    does not grow with the radius. Cells outside the raster take no part.
     """
     size = F.greatest(F.lit(3), F.bround(F.lit(fraction) * F.col("radius")).cast("int"))
     half = F.floor(size / 2).cast("int")
-    keys = [*by, "radius"]
+    keys = [*by, "radius", "width", "height"]
 
-    def pass_over(rows: DataFrame, axis: str) -> DataFrame:
-        return (
-            rows.select(*keys, "cy", "cx", "votes", "width", "height", F.explode(F.sequence(-half, half)).alias("_d"))
-            .withColumn(axis, F.col(axis) + F.col("_d"))
-            .filter("cx >= 0 and cx < width and cy >= 0 and cy < height")
-            .groupBy(*keys, "cy", "cx")
-            .agg(F.sum("votes").alias("votes"), F.max("width").alias("width"), F.max("height").alias("height"))
-        )
+    def pass_over(rows: DataFrame, axis: str, other: str, extent: str) -> DataFrame:
+        runs = rows.select(
+            *keys, other, F.greatest(F.lit(0), F.col(axis) - half).alias("_from"),
+            F.least(F.col(extent) - 1, F.col(axis) + half).alias("_to"), F.col("votes").alias("v"))
+        return spread_runs(runs, [*keys, other], axis).withColumnRenamed("v", "votes")
 
-    return pass_over(pass_over(votes, "cx"), "cy")
+    gathered = pass_over(pass_over(votes, "cx", "cy", "width"), "cy", "cx", "height")
+    return gathered.select(*by, "radius", "cy", "cx", "votes", "width", "height")
 
 
 def peaks(gathered: DataFrame, by: list[str], min_vote_fraction: float = 0.25, edge_stride: int = 1) -> DataFrame:

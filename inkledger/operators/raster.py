@@ -357,18 +357,35 @@ def ink_density(ink: DataFrame, by: list[str], window_px: int) -> DataFrame:
     ).drop("v")
 
 
+def spread_runs(runs: DataFrame, line: list[str], axis: str) -> DataFrame:
+    """Per cell of a line, the sum of ``v`` over the runs ``_from .. _to`` that cover it.
+
+    A run is a step up where it begins and one down behind its end. Steps of a line are
+    added up in order, so a run costs two rows however long it is, and the cells between two
+    steps come out at once. ``line`` names one raster line (a page's row or column, with a radius
+    if there is one); cells that no run covers have no row.
+    """
+    up = F.struct(F.col("_from").alias("p"), F.col("v").alias("s"), F.lit(1).alias("c"))
+    down = F.struct((F.col("_to") + 1).alias("p"), (-F.col("v")).alias("s"), F.lit(-1).alias("c"))
+    steps = runs.filter("_from <= _to").select(*line, F.explode(F.array(up, down)).alias("e")).groupBy(
+        *line, F.col("e.p").alias("p")).agg(F.sum("e.s").alias("s"), F.sum("e.c").alias("c"))
+    along = Window.partitionBy(*line).orderBy("p")
+    levels = steps.select(
+        *line, "p", F.sum("s").over(along).alias("v"), F.sum("c").over(along).alias("c"), F.lead("p").over(along).alias("q"))
+    return levels.filter("c > 0").select(*line, F.explode(F.sequence(F.col("p"), F.col("q") - 1)).alias(axis), "v")
+
+
 def box_scatter(cells: DataFrame, by: list[str], reach: list[int]) -> DataFrame:
-    """Separable window sum of ``v``: along x, then along y."""
-    steps = F.array(*[F.lit(d) for d in reach])
-
-    def pass_over(rows: DataFrame, axis: str) -> DataFrame:
-        return (
-            rows.select(*by, "y", "x", "v", F.explode(steps).alias("_d"))
-            .withColumn(axis, F.col(axis) + F.col("_d"))
-            .groupBy(*by, "y", "x").agg(F.sum("v").alias("v"))
-        )
+    """Separable window sum of ``v``: along x, then along y. ``reach`` is a range of offsets.
 
-    return pass_over(pass_over(cells, "x"), "y")
+    Each pass adds up steps, so its cost does not depend on the window's size.
+    """
+    rows = spread_runs(
+        cells.select(*by, "y", (F.col("x") + min(reach)).alias("_from"), (F.col("x") + max(reach)).alias("_to"), "v"),
+        [*by, "y"], "x")
+    return spread_runs(
+        rows.select(*by, "x", (F.col("y") + min(reach)).alias("_from"), (F.col("y") + max(reach)).alias("_to"), "v"),
+        [*by, "x"], "y").select(*by, "y", "x", "v")
 
 
 def ring_offsets(radius: float, thickness: float) -> list[tuple[int, int]]:
@@ -377,14 +394,31 @@ def ring_offsets(radius: float, thickness: float) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in span for dx in span if inner <= math.hypot(dy, dx) <= outer]
 
 
+def ring_runs(radius: float, thickness: float) -> list[tuple[int, int, int]]:
+    """The ring's offsets as runs ``(dy, first dx, last dx)``: one or two per row."""
+    rows: dict[int, list[int]] = {}
+    for dy, dx in ring_offsets(radius, thickness):
+        rows.setdefault(dy, []).append(dx)
+    runs = []
+    for dy, places in rows.items():
+        places.sort()
+        starts = [i for i, dx in enumerate(places) if i == 0 or dx > places[i - 1] + 1]
+        runs += [(dy, places[i], places[j - 1]) for i, j in zip(starts, [*starts[1:], len(places)])]
+    return runs
+
+
 def annulus_response(ink: DataFrame, by: list[str], radius: float, thickness: float = 2.0) -> DataFrame:
-    """Mean ink on a thin ring around every pixel that has any."""
-    ring = ring_offsets(radius, thickness)
-    return (
-        ink.select(*by, "y", "x", F.explode(offsets(ring, "dy", "dx")).alias("o"))
-        .groupBy(*by, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-        .agg((F.count(F.lit(1)) / F.lit(float(len(ring)))).alias("response"))
-    )
+    """Mean ink on a thin ring around every pixel that has any.
+
+    A pixel gives one or two runs to each row that the ring crosses.
+    """
+    size = len(ring_offsets(radius, thickness))
+    runs = ink.select(*by, "y", "x", F.explode(offsets(ring_runs(radius, thickness), "dy", "lo", "hi")).alias("o"))
+    summed = spread_runs(
+        runs.select(*by, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.lo")).alias("_from"),
+                    (F.col("x") + F.col("o.hi")).alias("_to"), F.lit(1).cast("long").alias("v")),
+        [*by, "y"], "x")
+    return summed.select(*by, "y", "x", (F.col("v") / F.lit(float(size))).alias("response"))
 
 
 # ------------------------------------------------------------------------ pyramid
