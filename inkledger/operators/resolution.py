@@ -174,9 +174,10 @@ def resolve_candidates(candidates: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def magic_bytes_probe(files: DataFrame) -> DataFrame:
-    """Readability of image files by their leading bytes (``binaryFile`` rows in).
+    """Readability of image files by their leading bytes (``path, content``).
 
-    Only the first bytes decide, so the payload never leaves the JVM.
+    Eight bytes decide, so ``content`` need not hold more than a file's head
+    (``sources.heads.file_heads``).
     """
     head = F.hex(F.substring(F.col("content"), 1, 8))
     known = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import text as tx
 from inkledger.operators.resolution import magic_bytes_probe
+from inkledger.sources.heads import file_heads
 from inkledger.vocabulary import DEFAULT_DPI, MIN_TAG_DPI, PLAUSIBLE_WIDTH_IN
 
 
@@ -35,8 +36,11 @@ def in_name_order(files: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def probe_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Readability of every file of a folder by its leading bytes, in parallel."""
-    return magic_bytes_probe(spark.read.format("binaryFile").load(folder))
+    """Readability of every file of a folder by its leading bytes, in parallel.
+
+    Sixteen bytes are read of a file, however large it is.
+    """
+    return magic_bytes_probe(file_heads(spark, folder))
 
 
 def page_facts(raw: DataFrame) -> DataFrame:

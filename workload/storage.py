@@ -13,7 +13,8 @@ from inkledger.operators import audit, ledger
 from inkledger.operators.manifest import detect_roles
 from inkledger.plans import review
 from inkledger.session import scratch_path
-from inkledger.sources import manifests, sinks, versions
+from inkledger.sources import images, manifests, sinks, versions
+from inkledger.sources.heads import open_store
 from inkledger.streaming import commits as stream
 from workload import detection, imports
 from workload import ledger as lw
@@ -182,15 +183,37 @@ def commit_and_progress(t: Tables) -> DataFrame:
     return review.commit_and_count(blank, lw.drafts_of(t))[1]
 
 
-@query("magic_byte_probe")
-def magic_byte_probe(t: Tables) -> DataFrame:
-    from inkledger.operators.resolution import magic_bytes_probe
+def _write_files(folder: str):
+    """One file per row, in four folders, for readers of real files."""
+
+    def write(batches):
+        store, root = open_store(folder)
+        for batch in batches:
+            for name, content in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                place = f"{root}/{len(content) % 4}"
+                store.create_dir(place, recursive=True)
+                with store.open_output_stream(f"{place}/{name}") as out:
+                    out.write(content)
+            yield batch.select([0])
+
+    return write
+
 
+@query(
+    "magic_byte_probe",
+    """SELECT '/scans/' || page_id || '.tif' AS path, TRUE AS path_exists, page_id % 4 <> 3 AS readable,
+              CASE WHEN page_id % 4 = 3 THEN 'not a readable image' ELSE '' END AS detail FROM pages""",
+)
+def magic_byte_probe(t: Tables) -> DataFrame:
+    """Real files, one per page, of which the probe opens each and reads its head."""
     heads = {0: "49492A00", 1: "89504E470D0A1A0A", 2: "FFD8FFE0", 3: "00000000"}
     k = (F.col("page_id") % 4).cast("int")
     magic = F.element_at(F.create_map(*[F.lit(x) for kv in heads.items() for x in kv]), k)
     files = t.pages.select(
-        F.concat(F.lit("/scans/"), F.col("page_id"), F.lit(".tif")).alias("path"),
+        F.concat("page_id", F.lit(".tif")).alias("name"),
         F.concat(F.unhex(magic), F.encode("html", "UTF-8")).alias("content"),
     )
-    return magic_bytes_probe(files)
+    folder = scratch_path(t.spark)
+    assert files.mapInArrow(_write_files(folder), "name string").count() == files.count()
+    found = images.probe_images(t.spark, folder)
+    return found.withColumn("path", F.concat(F.lit("/scans/"), F.regexp_extract("path", "[^/]*$", 0)))
