@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import geometry as geo
 from inkledger.operators.skew import salted_join
-from inkledger.session import cut_lineage
 
 
 def co_locate(ink: DataFrame, by: list[str], partitions: int | None = None) -> DataFrame:
@@ -219,53 +218,6 @@ def suppress_long_lines(ink: DataFrame, by: list[str], run_px: Column | int, thi
     return long_line_flags(ink, by, run_px, thickness, carry).filter(~F.col("on_line")).drop("on_line")
 
 
-# ---------------------------------------------------------------------- components
-
-def despeckle(ink: DataFrame, by: list[str], min_area: int) -> DataFrame:
-    """Drop 4-connected components smaller than ``min_area``.
-
-    Runs are nodes; runs that share a column in adjacent rows are edges, found by an
-    equality on pixels. Labels spread as the minimum over neighbours and then jump to
-    the label of the label, so the number of rounds grows with the logarithm of the
-    longest chain. Every round is written to the shared folder.
-    """
-    if min_area <= 1:
-        return ink
-    w = Window.partitionBy(*by, "y").orderBy("x")
-    marked = ink.select(*by, "y", "x").withColumn("_island", F.col("x") - F.row_number().over(w))
-    start = F.min("x").over(Window.partitionBy(*by, "y", "_island"))
-    # A run is named by its first pixel.
-    pixels = cut_lineage(marked.withColumn("node", F.struct(F.col("y"), start.alias("x"))).drop("_island"))
-    below = pixels.select(*by, (F.col("y") - 1).alias("y"), "x", F.col("node").alias("other"))
-    touching = pixels.join(below, [*by, "y", "x"]).select(*by, "node", "other").distinct()
-    edges = cut_lineage(
-        touching.unionByName(touching.select(*by, F.col("other").alias("node"), F.col("node").alias("other")))
-    )
-    labels = cut_lineage(pixels.groupBy(*by, "node").agg(F.min("node").alias("label"), F.count(F.lit(1)).alias("area")))
-    while True:
-        near = edges.join(labels.select(*by, F.col("node").alias("other"), "label"), [*by, "other"])
-        best = near.groupBy(*by, "node").agg(F.min("label").alias("_near"))
-        hooked = labels.join(best, [*by, "node"], "left").withColumn("_new", F.least("label", F.coalesce("_near", "label")))
-        # The root a node points at takes the smallest label any of its followers saw.
-        roots = hooked.groupBy(*by, F.col("label").alias("node")).agg(F.min("_new").alias("_root"))
-        lifted = hooked.join(roots, [*by, "node"], "left").withColumn(
-            "_new", F.least("_new", F.coalesce("_root", "_new"))
-        ).select(*by, "node", "area", "label", "_new")
-        jump = lifted.select(*by, F.col("node").alias("_new"), F.col("_new").alias("_far"))
-        moved = cut_lineage(
-            lifted.join(jump, [*by, "_new"], "left").select(
-                *by, "node", "area", F.least("_new", F.coalesce("_far", "_new")).alias("label"),
-                (F.least("_new", F.coalesce("_far", "_new")) != F.col("label")).alias("_moved"),
-            )
-        )
-        labels = moved.drop("_moved")
-        if not moved.filter("_moved").take(1):
-            break
-    sizes = labels.groupBy(*by, "label").agg(F.sum("area").alias("size"))
-    keep = labels.join(sizes.filter(F.col("size") >= min_area), [*by, "label"], "left_semi")
-    return pixels.join(keep.select(*by, "node"), [*by, "node"], "left_semi").select(*by, "y", "x")
-
-
 # ------------------------------------------------------------------- neighbourhoods
 
 _RING = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import identity
-from inkledger.operators import hough, orientation, polar, raster, signatures
+from inkledger.operators import components, hough, orientation, polar, raster, signatures
 from workload.registry import Tables, query
 from workload.views import ctes
 
@@ -130,7 +130,7 @@ def long_line_suppression(t: Tables) -> DataFrame:
              JOIN px n ON n.page_id = r.page_id AND abs(n.y - c.y) + abs(n.x - c.x) = 1)"""),
 )
 def despeckle(t: Tables) -> DataFrame:
-    return raster.despeckle(t.ink_v, PAGE, 4)
+    return components.despeckle(t.ink_v, PAGE, 4)
 
 
 @query(
