@@ -170,8 +170,34 @@ def flatten(detections: DataFrame, evidence_keys: list[str], attr_keys: list[str
     )
 
 
-def inventory(pages: DataFrame, detections: DataFrame, evidence_keys: list[str], attr_keys: list[str] = ()) -> DataFrame:
-    """Flat table: one row per detection, misses too; an empty page gives one row."""
+def evidence_names(detections: DataFrame) -> list[str]:
+    """Every key of the ``evidence`` maps, as first seen by page, detection and place in the map.
+
+    First sight is a mergeable minimum per key; the keys alone come to the driver.
+    """
+    keys = detections.select("page_id", "det_id", F.posexplode(F.map_keys("evidence")).alias("at", "key"))
+    first = keys.groupBy("key").agg(F.min(F.struct("page_id", "det_id", "at")).alias("f"))
+    return [r["key"] for r in first.orderBy("f").collect()]
+
+
+def attribute_names(detections: DataFrame) -> list[str]:
+    """The fields of ``attrs`` that any detection has a value for, in the struct's order."""
+    fields = detections.schema["attrs"].dataType.names
+    filled = detections.agg(*[F.max(F.col("attrs")[f].isNotNull()).alias(f) for f in fields]).first()
+    return [f for f in fields if filled[f]]
+
+
+def inventory(pages: DataFrame, detections: DataFrame, evidence_keys: list[str] | None = None,
+              attr_keys: list[str] | None = None) -> DataFrame:
+    """Flat table: one row per detection, misses too; an empty page gives one row.
+
+    Evidence and attributes become columns: the keys that are named, or without names all that
+    the detections have (a detection without one is null there).
+    """
+    if evidence_keys is None:
+        evidence_keys = evidence_names(detections)
+    if attr_keys is None:
+        attr_keys = attribute_names(detections) if "attrs" in detections.columns else []
     verdicts = page_verdicts(pages, detections, "page_id", "det_id")
     facts = verdicts.select(
         "page_id", "source_file", "api14", "dpi",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import text as tx
 from inkledger.operators.manifest import ManifestError, number_rows
+from inkledger.session import cut_lineage
 from inkledger.sources import delimited
 from inkledger.vocabulary import ROLE_ALIASES
 
@@ -174,16 +175,35 @@ def pick_manifest_sheet(cells: DataFrame) -> DataFrame:
     return cells.join(best, ["path", "sheet_no"]).filter("row_no > header_row")
 
 
+def _clean_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        batch["headers"] = [unique_headers(list(h)) for h in batch["headers"]]
+        yield batch
+
+
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """One workbook's manifest sheet as a table with ``import_row``."""
-    body = pick_manifest_sheet(read_workbook_cells(spark, path))
-    head = body.select("headers").first()
-    if head is None:
+    """The manifest sheets of one workbook, or of all in a folder, as one table.
+
+    Every workbook has headers of its own. The table has a column for each name (case ignored)
+    that any of them has, spelled and ordered as first seen by path; workbooks without it are
+    blank there. ``import_row`` counts the kept rows of each workbook from 2. To the driver come
+    the column names only.
+    """
+    cells = cut_lineage(read_workbook_cells(spark, path))
+    body = cut_lineage(pick_manifest_sheet(cells))
+    heads = cut_lineage(body.groupBy("path").agg(F.first("headers").alias("headers")).mapInPandas(
+        _clean_headers, "path string, headers array<string>"))
+    named = heads.select("path", F.posexplode("headers").alias("at", "name"))
+    first = named.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("path", "at", "name")).alias("f"))
+    headers = [r["name"] for r in first.orderBy("f.path", "f.at").select("f.name").collect()]
+    if not headers:
         raise ManifestError("the selected workbook contains no non-empty worksheet")
-    headers = unique_headers(list(head["headers"]))
-    table = body.select(
+    placed = body.drop("headers").join(
+        heads.select("path", F.transform("headers", F.lower).alias("_keys")), "path")
+    table = placed.select(
         F.col("path").alias("source_path"), "row_no",
-        *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(headers)],
+        *[F.coalesce(F.get("cells", F.array_position("_keys", F.lower(F.lit(h))).cast("int") - 1), F.lit("")).alias(h)
+          for h in headers],
     )
     kept = _drop_blank_rows(table, headers)
     # One sheet holds at most 1,048,576 rows, so a window per workbook is bounded.

@@ -160,6 +160,19 @@ def _workbook(path, sheets):
             book.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
 
 
+def test_workbooks_with_headers_of_their_own(spark, tmp_path):
+    _workbook(tmp_path / "a.xlsx", {"wells": [["API", "Path"], [1, "a.tif"], ["", ""], [2, ""]]})
+    _workbook(tmp_path / "b.xlsx", {"s": [["path", "", "UWI", "path"], ["b.tif", "x", 3, "again"], ["", "", 4, ""]]})
+    _workbook(tmp_path / "c.xlsx", {"wells": [["api"], [5]]})
+    _workbook(tmp_path / "d.xlsx", {"wells": [["Notes", "well_id"]]})
+    table = manifests.read_workbook(spark, str(tmp_path))
+    assert table.columns == ["API", "Path", "column_2", "UWI", "path_2", "import_row", "source_path"]
+    rows = table.select(F.regexp_extract("source_path", "([a-d])[.]xlsx", 1), "import_row", *table.columns[:5]).collect()
+    assert sorted(map(tuple, rows)) == [
+        ("a", 2, "1", "a.tif", "", "", ""), ("a", 3, "2", "", "", "", ""),
+        ("b", 2, "", "b.tif", "x", "3", "again"), ("b", 3, "", "", "", "4", ""), ("c", 2, "5", "", "", "", "")]
+
+
 def test_workbook_sheet_choice(spark, tmp_path):
     path = tmp_path / "m.xlsx"
     _workbook(path, {"notes": [["description"], ["not the data"]], "wells": [["API Number", "TIFF Path"], [21441, r"C:\logs\21441.tif"], ["", ""], [1.5, ""]]})

@@ -229,6 +229,27 @@ def detection_inventory(t: Tables) -> DataFrame:
     return det.inventory(pages_of(t), rows, ["ring", "angular"]).drop("page_id", "score")
 
 
+@query(
+    "inventory_all_columns",
+    sql("""SELECT v.page_id, d.det_id, round(CASE WHEN d.det_id % 2 = 0 THEN d.s_ring END, 4) AS ev_ring,
+              round(CASE WHEN d.det_id % 2 = 1 THEN d.s_angular END, 4) AS ev_angular,
+              CASE WHEN d.det_id % 5 = 0 THEN CAST(d.det_id AS DOUBLE) END AS ev_extra, d.det_id % 10 = 0 AS attr_clipped,
+              CASE WHEN d.det_id % 3 = 0 THEN CAST(d.det_id % 4 AS DOUBLE) * 90 END AS attr_upright_ccw_deg
+            FROM pages_v v LEFT JOIN decided_v d ON d.page_id = v.page_id"""),
+)
+def inventory_all_columns(t: Tables) -> DataFrame:
+    """Columns from the data: evidence keys differ between detections, three attributes are never filled."""
+    i = F.col("det_id")
+    some = F.map_filter(
+        F.map_concat(
+            F.map_filter("evidence", lambda k, _: k.isin("ring", "angular")),
+            F.create_map(F.lit("extra"), i.cast("double"))),
+        lambda k, _: ((k == "ring") & (i % 2 == 0)) | ((k == "angular") & (i % 2 == 1)) | ((k == "extra") & (i % 5 == 0)))
+    rows = placed(t).select("det_id", "page_id", "score", "decision", some.alias("evidence"), "attrs")
+    made = det.inventory(pages_of(t), rows)
+    return made.select("page_id", "det_id", *[c for c in made.columns if c.startswith(("ev_", "attr_"))])
+
+
 @query(
     "evidence_windows",
     sql(f"""WITH b AS (SELECT p.*, b.det_id, CAST(b.det_id % 2000 AS DOUBLE) AS cx, CAST(b.det_id * 3 % 9000 AS DOUBLE) AS cy, CAST(b.det_id % 60 + 200 AS INTEGER) AS r

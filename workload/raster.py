@@ -106,16 +106,18 @@ def reduced_read(t: Tables) -> DataFrame:
     return average.join(bold, ["page_id", "cy", "cx"])
 
 
-_LINES = """fat_h AS (SELECT DISTINCT page_id, y + d AS y, x FROM ink_v, (VALUES (-1), (0), (1)) v(d)),
-fat_v AS (SELECT DISTINCT page_id, y, x + d AS x FROM ink_v, (VALUES (-1), (0), (1)) v(d)),
+_LINES = """fat_h AS MATERIALIZED (SELECT page_id, y + d AS y, x FROM ink_v, (VALUES (-1), (0), (1)) v(d) GROUP BY ALL),
+fat_v AS MATERIALIZED (SELECT page_id, y, x + d AS x FROM ink_v, (VALUES (-1), (0), (1)) v(d) GROUP BY ALL),
 run_h AS (SELECT *, count(*) OVER (PARTITION BY page_id, y, g) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS g FROM fat_h)),
 run_v AS (SELECT *, count(*) OVER (PARTITION BY page_id, x, g) AS n FROM (SELECT *, y - row_number() OVER (PARTITION BY page_id, x ORDER BY y) AS g FROM fat_v)),
-mask AS (SELECT page_id, y, x FROM run_h WHERE n >= 8 UNION SELECT page_id, y, x FROM run_v WHERE n >= 8)"""
+mask AS MATERIALIZED (SELECT page_id, y, x, TRUE AS on_mask FROM
+  (SELECT page_id, y, x FROM run_h WHERE n >= 8 UNION ALL SELECT page_id, y, x FROM run_v WHERE n >= 8) GROUP BY page_id, y, x)"""
 
 
 @query(
     "long_line_suppression",
-    sql("SELECT i.page_id, i.y, i.x, m.page_id IS NOT NULL AS on_line FROM ink_v i LEFT JOIN (SELECT DISTINCT page_id, y, x FROM mask) m ON m.page_id = i.page_id AND m.y = i.y AND m.x = i.x", _LINES),
+    "WITH " + ctes("ink_v") + ", " + _LINES + """ SELECT i.page_id, i.y, i.x, coalesce(m.on_mask, FALSE) AS on_line
+       FROM ink_v i LEFT JOIN mask m USING (page_id, y, x)""",
 )
 def long_line_suppression(t: Tables) -> DataFrame:
     return raster.long_line_flags(raster.co_locate(t.ink_v, PAGE), PAGE, 8)

@@ -6,6 +6,9 @@ it back with the engine's own readers.
 
 from __future__ import annotations
 
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,6 +186,49 @@ def commit_and_progress(t: Tables) -> DataFrame:
     return review.commit_and_count(blank, lw.drafts_of(t))[1]
 
 
+_BOOK_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_BOOK_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+BOOK_ROWS = 400
+
+
+def _write_book(folder: str):
+    """One workbook per group; every third has other headers in another order."""
+    layouts = (("UWI", "TIFPATH"), ("TIFPATH", "Depth1", "UWI"), ("uwi", "Notes"))
+    source = {"UWI": "raw_identifier", "uwi": "raw_identifier", "TIFPATH": "raw_path", "Depth1": "raw_depth", "Notes": "raw_depth"}
+
+    def write(key, table):
+        number, table = key[0].as_py(), table.sort_by("import_row")
+        layout = layouts[number % 3]
+        rows = [layout, *zip(*(table[source[h]].to_pylist() for h in layout))]
+        cells = ["".join(f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in row) for row in rows]
+        sheet = "".join(f'<row r="{n}">{c}</row>' for n, c in enumerate(cells, 1))
+        store, root = open_store(folder)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{number:06d}.xlsx") as out, zipfile.ZipFile(out, "w") as book:
+            book.writestr("xl/workbook.xml", f'<workbook xmlns="{_BOOK_NS}" xmlns:r="{_BOOK_REL}"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+            book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+            book.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{_BOOK_NS}"><sheetData>{sheet}</sheetData></worksheet>')
+        return table.select(["import_row"])
+
+    return write
+
+
+@query(
+    "workbook_scan",
+    "WITH " + ctes("manifest_v") + f""", b AS (SELECT *, import_row // {BOOK_ROWS} AS book FROM manifest_v)
+       SELECT lpad(CAST(book AS VARCHAR), 6, '0') || '.xlsx' AS book, row_number() OVER (PARTITION BY book ORDER BY import_row) + 1 AS import_row,
+              raw_identifier AS "UWI", CASE WHEN book % 3 < 2 THEN raw_path ELSE '' END AS "TIFPATH",
+              CASE WHEN book % 3 = 1 THEN raw_depth ELSE '' END AS "Depth1", CASE WHEN book % 3 = 2 THEN raw_depth ELSE '' END AS "Notes" FROM b""",
+)
+def workbook_scan(t: Tables) -> DataFrame:
+    """Many workbooks with three kinds of headers, united by name."""
+    folder = scratch_path(t.spark)
+    books = t.manifest_v.groupBy(F.expr(f"import_row div {BOOK_ROWS}").alias("book"))
+    assert books.applyInArrow(_write_book(folder), "import_row long").count() > 0
+    table = manifests.read_workbook(t.spark, folder)
+    return table.withColumn("book", F.regexp_extract("source_path", "[^/]*$", 0)).drop("source_path")
+
+
 def _write_files(folder: str):
     """One file per row, in four folders, for readers of real files."""
 
