@@ -85,16 +85,17 @@ def with_correlation(signatures: DataFrame, template: list[float]) -> DataFrame:
 def alignment_udf(template: list[float]):
     """Vectorised ``sig -> array``: unit form rolled into the template's frame.
 
-    Flat signatures and signatures of another length give null.
+    Signatures of another length are resampled to the template's. Null, empty and flat ones,
+    which have no direction, give null.
     """
     reference = np.asarray(template, dtype=float)
 
     @F.pandas_udf("array<double>")
     def into_frame(signatures: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(signatures), dtype=object)
-        pick = np.flatnonzero(signatures.map(len).to_numpy() == reference.size)
-        if pick.size:
-            stack = np.stack([np.asarray(signatures.iloc[i], dtype=float) for i in pick])
+        pick = [i for i, s in enumerate(signatures) if s is not None and len(s)]
+        if pick:
+            stack = np.stack([fit_length(np.asarray(signatures.iloc[i], dtype=float), reference.size) for i in pick])
             units, shifts = unit_rows(stack), correlate_rows(stack, reference)[1]
             columns = (np.arange(reference.size)[None, :] + shifts[:, None]) % reference.size
             rolled = np.take_along_axis(units, columns, axis=1)
@@ -106,21 +107,62 @@ def alignment_udf(template: list[float]):
     return into_frame
 
 
+def exact_median(rows: DataFrame, value: str, few: int = 10_000) -> float | None:
+    """The median of a column, exactly, without sorting it in one place.
+
+    Bounds around the middle are narrowed by approximate quantiles and exact counts until ``few``
+    values are left between them (or all of those are equal); only those come to the driver.
+    Nulls take no part; nothing gives None.
+    """
+    values = rows.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    count = values.count()
+    if not count:
+        return None
+    ranks, below, inside, size = {(count - 1) // 2, count // 2}, 0, values, count
+    while size > few:
+        # The heaviest value is told apart first: quantiles can't narrow what ties fill.
+        middle = (min(ranks) - below) / size
+        pivot = inside.approxQuantile("v", [middle], 0.01)[0]
+        parts = inside.agg(F.count_if(F.col("v") < pivot).alias("under"), F.count_if(F.col("v") == pivot).alias("same")).first()
+        upto = below + parts["under"]
+        if upto <= min(ranks) and max(ranks) < upto + parts["same"]:
+            return pivot
+        low, high = inside.approxQuantile("v", [max(0.0, middle - 0.03), min(1.0, middle + 0.03)], 0.01)
+        near = inside.filter(F.col("v").between(low, high))
+        ahead, held = inside.filter(F.col("v") < low).count(), near.count()
+        if not below + ahead <= min(ranks) or not max(ranks) < below + ahead + held or held == size:
+            # One side of the pivot at least goes.
+            if max(ranks) < upto:
+                near, ahead, held = inside.filter(F.col("v") < pivot), 0, parts["under"]
+            elif min(ranks) >= upto + parts["same"]:
+                ahead = parts["under"] + parts["same"]
+                near, held = inside.filter(F.col("v") > pivot), size - ahead
+            else:  # the two middle ranks lie on either side of the pivot's edge
+                after = inside.filter(F.col("v") > pivot).agg(F.min("v")).first()[0]
+                before = inside.filter(F.col("v") < pivot).agg(F.max("v")).first()[0]
+                return (pivot + after) / 2 if min(ranks) >= upto else (before + pivot) / 2
+        inside, below, size = near, below + ahead, held
+    held = sorted(r["v"] for r in inside.collect())
+    return sum(held[r - below] for r in sorted(ranks)) / len(ranks)
+
+
 def build_template(sources: DataFrame, first: str = "order") -> DataFrame:
     """One-row template from confirmed elements.
 
     ``sources``: ``sig_id, sig, profile, radius_in`` and an order column. Signatures are
     aligned to the earliest source's frame by their best shift, normalised, and averaged
-    bin by bin; ``upright`` offset is the caller's to add. Only the anchor (one array)
-    comes to the driver; everything else is a mergeable average.
+    bin by bin; ``upright`` offset is the caller's to add. ``n_sources`` counts the signatures in
+    the average; profile and radius are those of all sources. Only the anchor (one array) and the
+    values next to the median come to the driver; everything else is a mergeable average.
     """
     anchor = sources.orderBy(first).select("sig").first()
     if anchor is None:
         raise ValueError("no usable elements found")
-    aligned = sources.select(alignment_udf(list(anchor["sig"]))(F.col("sig")).alias("unit"))
-    bins = aligned.filter("unit is not null").select(F.posexplode("unit").alias("bin", "v"))
-    mean_bins = bins.groupBy("bin").agg(F.avg("v").alias("v"))
-    facts = sources.agg(F.median("radius_in").alias("radius_in"), F.count(F.lit(1)).alias("n_sources"))
+    aligned = sources.select(alignment_udf(list(anchor["sig"]))(F.col("sig")).alias("unit")).filter("unit is not null")
+    mean_bins = aligned.select(F.posexplode("unit").alias("bin", "v")).groupBy("bin").agg(
+        F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    facts = mean_bins.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n_sources")).withColumn(
+        "radius_in", F.lit(exact_median(sources, "radius_in")).cast("double"))
     rows = sources.select(F.posexplode("profile").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v"))
 
     def listed(df: DataFrame, order: str) -> Column:
@@ -129,6 +171,6 @@ def build_template(sources: DataFrame, first: str = "order") -> DataFrame:
         ).scalar()
 
     return facts.select(
-        listed(mean_bins, "bin").alias("digit_signature"), listed(rows, "i").alias("radial_profile"),
+        listed(mean_bins.select("bin", "v"), "bin").alias("digit_signature"), listed(rows, "i").alias("radial_profile"),
         "radius_in", "n_sources",
     )

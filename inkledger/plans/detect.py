@@ -206,6 +206,16 @@ def detection_record(rows: DataFrame) -> DataFrame:
     )
 
 
+def save_template(template: DataFrame, path: str, upright_offset: float = 0.0) -> None:
+    """Store the one row of ``signatures.build_template`` as ``load_template`` reads it."""
+    import numpy as np
+
+    row = template.first()
+    np.savez(
+        path, digit_signature=np.array(row["digit_signature"], float), radial_profile=np.array(row["radial_profile"], float),
+        radius_in=row["radius_in"], n_sources=row["n_sources"], upright_ccw_deg=upright_offset)
+
+
 def load_template(path: str) -> tuple[list[float], float]:
     """Signature and upright offset of a stored template (npz with fixed member names)."""
     import numpy as np

@@ -369,6 +369,29 @@ def template_build(t: Tables) -> DataFrame:
     return made.select(F.posexplode("digit_signature").alias("bin", "v")).select("bin", (F.round("v", 6) + 0).alias("v"))
 
 
+@query(
+    "template_fields",
+    sql("""SELECT 'signature' AS part, CAST((u.bin - b.shift + 64) % 64 AS INTEGER) AS i, round(avg(u.u), 6) + 0 AS v FROM unit u JOIN best b USING (vec_id) GROUP BY 2
+           UNION ALL SELECT 'profile', bin, round(avg(v), 6) + 0 FROM signature_v GROUP BY bin
+           UNION ALL SELECT 'radius_in', 0, round(median(CAST(0.55 AS DOUBLE) + CAST(vec_id % 30 AS DOUBLE) / 100), 6) FROM embeddings
+           UNION ALL SELECT 'n_sources', 0, CAST(count(*) AS DOUBLE) FROM embeddings""", _UNIT),
+)
+def template_fields(t: Tables) -> DataFrame:
+    """All fields of the template that every signature and whole profile goes into."""
+    sources = arrays(t).select(
+        "sig_id", "sig", F.col("sig").alias("profile"),
+        (F.lit(0.55) + (F.col("sig_id") % 30).cast("double") / 100).alias("radius_in"), F.col("sig_id").alias("order"),
+    )
+    made = signatures.build_template(sources)
+    parts = [
+        made.select(F.lit(name).alias("part"), F.posexplode(column).alias("i", "v"))
+        for name, column in (("signature", F.col("digit_signature")), ("profile", F.col("radial_profile")),
+                             ("radius_in", F.array("radius_in")), ("n_sources", F.array(F.col("n_sources").cast("double"))))
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return rows.select("part", "i", (F.round("v", 6) + 0).alias("v"))
+
+
 # ------------------------------------------------------------------- orientation
 
 _COARSE = [i * 10.0 for i in range(18)]
