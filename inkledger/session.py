@@ -38,8 +38,7 @@ def _shared_folder(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    spark.conf.set(CHECKPOINT_CONF, LOCAL_FOLDER)  # driver and executors are one machine
-    return LOCAL_FOLDER
+    return LOCAL_FOLDER  # driver and executors are one machine
 
 
 def scratch_path(spark: SparkSession) -> str:
