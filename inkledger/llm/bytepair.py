@@ -359,10 +359,40 @@ def encode_notes(
     )
 
 
-def decode_ids(token_ids: Column, ranks: str) -> Column:
-    """The bytes of an array of ids: the ids' binary pieces, one after the other."""
-    pieces = [""] * (max(read_ranks(ranks).values()) + 1)
+def _pieces_of(ranks: str) -> pa.LargeBinaryArray:
+    pieces = [b""] * (max(read_ranks(ranks).values()) + 1)
     for token, rank in read_ranks(ranks).items():
-        pieces[rank] = token.hex()
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(token_ids, lambda i: F.get(table, i)), ""))
+        pieces[rank] = token
+    return pa.array(pieces, pa.large_binary())
+
+
+def _decode(ranks: str):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces_of(ranks)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                ids, per_note = batch[1].flatten(), batch[1].value_lengths().fill_null(0).to_numpy()
+                taken = pieces.take(ids)
+                # The taken pieces lie one after the other; a note begins where its first piece does.
+                begins = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1, taken.offset * 8)
+                ends = pa.py_buffer(begins[np.r_[0, np.cumsum(per_note)]].tobytes())
+                notes = pa.Array.from_buffers(
+                    pa.large_binary(), len(batch), [None, ends, taken.buffers()[2]])
+                yield pa.RecordBatch.from_arrays(
+                    [batch[0], batch[1], notes.cast(pa.binary())], names=["position", "token_ids", "note_bytes"])
+
+    return decode
+
+
+def decode_notes(
+    encoded: DataFrame, ranks: str, position: str = "position", token_ids: str = "token_ids",
+) -> DataFrame:
+    """position, token_ids and note_bytes: the binary pieces of a note's ids, one after the other.
+
+    An empty or null array gives no bytes; positions may be null or repeat; other columns are
+    ignored; an empty table gives no rows; an id that the rank file lacks raises.
+    """
+    rows = encoded.select(F.col(position).cast("long").alias("position"),
+                          F.col(token_ids).cast("array<int>").alias("token_ids"))
+    return rows.mapInArrow(_decode(ranks), "position long, token_ids array<int>, note_bytes binary")

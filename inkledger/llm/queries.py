@@ -53,10 +53,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bytepair.encode_notes(notes_of(table(spark, sf_dir, "documents")), RANKS, PATTERN)
     ids = F.col("token_ids")
-    return encoded.select(
+    return bytepair.decode_notes(encoded, RANKS).select(
         F.col("position").alias("doc_id"), F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bytepair.decode_ids(ids, RANKS), 256).alias("decoded_sha256"))
+        F.sha2("note_bytes", 256).alias("decoded_sha256"))
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -88,11 +88,12 @@ def test_byte_pairs(notes, nothing, frequent):
     ranks = bytepair.read_ranks(RANKS)
     coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoded = bytepair.encode_notes(notes, RANKS, PATTERN, frequent=frequent)
-    got = encoded.select("token_ids", bytepair.decode_ids(F.col("token_ids"), RANKS).alias("raw")).collect()
+    got = bytepair.decode_notes(encoded, RANKS).collect()
     assert sorted(list(r.token_ids) for r in got) == sorted(coder.encode_ordinary(n or "") for _, n, _ in NOTES)
-    assert sorted(bytes(r.raw) for r in got) == sorted((n or "").encode() for _, n, _ in NOTES)
+    assert sorted(bytes(r.note_bytes) for r in got) == sorted((n or "").encode() for _, n, _ in NOTES)
     if frequent == 4:
-        assert bytepair.encode_notes(nothing, RANKS, PATTERN).count() == 0
+        none = bytepair.encode_notes(nothing, RANKS, PATTERN)
+        assert none.count() == 0 and bytepair.decode_notes(none, RANKS).count() == 0
 
 
 def test_toxicity(spark, nothing):
