@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
 
 # A worker remembers at most this many words; later new ones are encoded each time.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 350_000
 # Longer words are not remembered.
 CACHED_CHARS = 64
 
@@ -22,6 +23,9 @@ _BLANK_RUN = re.compile(r" \s")
 _SAFE_CUT = re.compile(r" (?=\S)")
 # Below this code point all libraries agree on what a letter is.
 _SETTLED = "ɐ"
+# Words by which a pattern is asked how it treats letters and stops.
+_LETTERS = ("a", "s", "ll", "word", "Word", "WORD", "wORd", "élan", "dÉjà", "ªº")
+_STOPS = ".,;:!?"
 
 
 def _shown_bytes() -> dict[int, int]:
@@ -57,10 +61,17 @@ class _Words(dict):
     def __init__(self, lead: str, pieces: _Pieces, find_pieces):
         super().__init__()
         self.lead, self.pieces, self.find_pieces = lead, pieces, find_pieces
+        # Most patterns take letters whole and leave a stop behind them apart; this one is asked.
+        self.whole = all(find_pieces(lead + w) == [lead + w] for w in _LETTERS) and all(
+            find_pieces(lead + w + stop) == [lead + w, stop] for w in _LETTERS for stop in _STOPS)
 
     def __missing__(self, word: str) -> bytes:
         text = self.lead + word
-        if text and max(text) < _SETTLED:
+        if self.whole and word.isalpha() and (word.isascii() or max(word) < _SETTLED):
+            packed = self.pieces.encode_piece(text)
+        elif self.whole and word[-1:] in _STOPS and word[:-1].isalpha() and max(word) < _SETTLED:
+            packed = self[word[:-1]] + self.pieces[word[-1]]
+        elif text and (text.isascii() or max(text) < _SETTLED):
             packed = b"".join(map(self.pieces.__getitem__, self.find_pieces(text)))
         else:
             packed = self.pieces.encode(text)
@@ -83,12 +94,15 @@ class NoteEncoder:
         def encode(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes()
 
-        merge = tokenizer.model.tokenize
+        merge, code, blank = tokenizer.model.tokenize, "H" if dtype.itemsize == 2 else "I", chr(_SHOWN[0x20])
 
         def encode_piece(piece: str) -> bytes:
             """A match of the pattern goes straight to the tokenizer's merges."""
-            shown = piece.encode().decode("latin-1").translate(_SHOWN)
-            return np.array([t.id for t in merge(shown)], dtype).tobytes()
+            if piece.isascii() and piece.isprintable():
+                shown = piece.replace(" ", blank)
+            else:
+                shown = piece.encode().decode("latin-1").translate(_SHOWN)
+            return array(code, [t.id for t in merge(shown)]).tobytes()
 
         pieces, find = _Pieces(encode_piece, encode), regex.compile(pattern).findall
         self.dtype = dtype
