@@ -10,7 +10,7 @@ from inkledger.llm import (
     bytepair, centroids, chunks, collocations, curves, mixture, oracles, packing, paths, records,
     repetition, shards, simhash, toxicity,
 )
-from inkledger.session import scratch_path
+from inkledger.session import cut_lineage, scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,7 +51,8 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bytepair.encode_notes(notes_of(table(spark, sf_dir, "documents")), RANKS, PATTERN)
+    # Written between the two, so that a core serves one Python worker at a time.
+    encoded = cut_lineage(bytepair.encode_notes(notes_of(table(spark, sf_dir, "documents")), RANKS, PATTERN))
     ids = F.col("token_ids")
     return bytepair.decode_notes(encoded, RANKS).select(
         F.col("position").alias("doc_id"), F.size(ids).cast("long").alias("n_tokens"),
